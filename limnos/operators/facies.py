@@ -54,26 +54,35 @@ def add_percentages(df: DataFrame) -> DataFrame:
     return df.withColumns(group_percentages(df))
 
 
-def _dominant(a: Column, b: Column, c: Column, names: tuple[str, str, str]) -> Column:
-    """Name of one side: the leading group alone from 50 %, else the two leaders.
+def _choices(names: tuple[str, ...]) -> list[str]:
+    """The nine possible names of a side: each leader alone, or with either of the others."""
+    out = []
+    for lead in names:
+        others = [n for n in names if n != lead]
+        out += [lead, f"{lead}-{others[0]}", f"{lead}-{others[1]}"]
+    return out
 
-    Equal shares are ordered by group position, and missing groups never lead.
-    """
+
+def _leaders(a: Column, b: Column, c: Column) -> Column:
+    """Position (0 to 2) of the largest share; equal shares go by position, missing ones never lead."""
     floor = F.lit(float("-inf"))
     x, y, z = (F.coalesce(v, floor) for v in (a, b, c))
-    n1, n2, n3 = names
-    first = F.when((x >= y) & (x >= z), n1).when(y >= z, n2).otherwise(n3)
-    second = (
-        F.when(first == n1, F.when(y >= z, n2).otherwise(n3))
-        .when(first == n2, F.when(x >= z, n1).otherwise(n3))
-        .otherwise(F.when(x >= y, n1).otherwise(n2))
-    )
+    return F.when((x >= y) & (x >= z), 0).when(y >= z, 1).otherwise(2)
+
+
+def _choice(lead: Column, a: Column, b: Column, c: Column) -> Column:
+    """Index into ``_choices``; NULL when the side has no share at all."""
+    floor = F.lit(float("-inf"))
+    p = F.when(lead == 0, b).otherwise(a)
+    q = F.when(lead == 2, b).otherwise(c)
     top = F.greatest(a, b, c)
-    several = (a.isNotNull().cast("int") + b.isNotNull().cast("int") + c.isNotNull().cast("int")) > 1
-    return F.when(
-        top.isNotNull(),
-        F.when((top >= DOMINANCE_THRESHOLD) | ~several, first).otherwise(F.concat(first, F.lit("-"), second)),
-    )
+    second = F.when(F.coalesce(p, floor) >= F.coalesce(q, floor), 1).otherwise(2)
+    alone = (top >= DOMINANCE_THRESHOLD) | (p.isNull() & q.isNull())
+    return F.when(top.isNotNull(), lead * 3 + F.when(alone, 0).otherwise(second))
+
+
+def _pick(texts: list[str], index: Column) -> Column:
+    return F.get(F.array(*[F.lit(t) for t in texts]), index)
 
 
 def _spell(code: Column, words: dict[str, str]) -> Column:
@@ -93,21 +102,27 @@ def _pct(df: DataFrame, name: str) -> Column:
 
 
 def classify_dominant(df: DataFrame) -> DataFrame:
-    """``facies`` (anion-cation code) and ``facies_label`` from the six ``pct_*`` columns."""
-    df = df.withColumns(
-        {
-            "__cation_name": _dominant(*[_pct(df, g) for g in CATION_GROUPS], tuple(CATION_GROUPS)),
-            "__anion_name": _dominant(*[_pct(df, g) for g in ANION_GROUPS], tuple(ANION_GROUPS)),
-        }
-    )
-    anion, cation = F.col("__anion_name"), F.col("__cation_name")
-    known = anion.isNotNull() & cation.isNotNull()
+    """``facies`` (anion-cation code) and ``facies_label`` from the six ``pct_*`` columns.
+
+    Worked in small steps over an index of the nine possible names per side, so
+    that the generated code stays short enough to be compiled.
+    """
+    sides = {"cat": CATION_GROUPS, "an": ANION_GROUPS}
+    shares = {side: [_pct(df, g) for g in groups] for side, groups in sides.items()}
+    df = df.withColumns({f"__lead_{s}": _leaders(*v) for s, v in shares.items()})
+    df = df.withColumns({f"__name_{s}": _choice(F.col(f"__lead_{s}"), *v) for s, v in shares.items()})
+    anions, cations = _choices(tuple(ANION_GROUPS)), _choices(tuple(CATION_GROUPS))
+
+    def words(names: list[str], table: dict[str, str]) -> list[str]:
+        return ["-".join(table[part] for part in n.split("-")) for n in names]
+
+    nouns = [n.capitalize() for n in words(anions, ANION_NOUN)]
+    an, cat = F.col("__name_an"), F.col("__name_cat")
+    code = F.concat(_pick(anions, an), F.lit("-"), _pick(cations, cat))
+    label = F.concat(_pick(nouns, an), F.lit(" "), _pick(words(cations, CATION_ADJ), cat))
     return df.withColumns(
-        {
-            "facies": F.when(known, F.concat(anion, F.lit("-"), cation)).otherwise(NO_DATA),
-            "facies_label": F.when(known, _label(anion, cation)).otherwise(NO_DATA_LABEL),
-        }
-    ).drop("__anion_name", "__cation_name")
+        {"facies": F.coalesce(code, F.lit(NO_DATA)), "facies_label": F.coalesce(label, F.lit(NO_DATA_LABEL))}
+    ).drop("__lead_cat", "__lead_an", "__name_cat", "__name_an")
 
 
 def classify_piper_zone(df: DataFrame) -> DataFrame:

@@ -20,10 +20,23 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # Call-site capture costs several driver round trips per column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
 
+def prepare(spark: SparkSession) -> None:
+    """Runtime settings the long column chains rely on.
+
+    The JVM never compiles methods above 8000 bytes of bytecode; beyond that size
+    Spark is told to run the operators of a stage one by one, whose code is split
+    into small methods.
+    """
+    if int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) > 8000:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``.
 

@@ -12,6 +12,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from limnos.session import prepare
+
 _KEYS = [
     ("ok", "l_orderkey"),
     ("ln", "l_linenumber"),
@@ -82,6 +84,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     The two dimension joins carry no hint: their size grows with the data, so the
     join strategy is left to the measured sizes.
     """
+    prepare(spark)
     lines = (
         table(spark, sf_dir, "lineitem")
         .select(*[F.col(src).alias(name) for name, src in _KEYS + _MINS])
