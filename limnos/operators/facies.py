@@ -183,3 +183,10 @@ def facies_counts(df: DataFrame) -> DataFrame:
     counts = df.groupBy("facies").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("pct", F.col("n") / total * 100.0).orderBy(F.desc("n"), "facies")
+
+
+def leading_groups(df: DataFrame, groups: dict[str, tuple[str, ...]], name: str) -> list[Column]:
+    """The two largest groups of a side as ``<name>_1`` and ``<name>_2`` (NULL when missing)."""
+    shares = [F.struct((-_pct(df, g)).alias("s"), F.lit(i).alias("o"), F.lit(g).alias("k")) for i, g in enumerate(groups)]
+    ranked = F.sort_array(F.array_compact(F.array(*[F.when(_pct(df, g).isNotNull(), s) for g, s in zip(groups, shares)])))
+    return [F.get(ranked, F.lit(i))["k"].alias(f"{name}_{i + 1}") for i in range(2)]

@@ -95,12 +95,16 @@ def trajectories(df: DataFrame, stations=None) -> DataFrame:
     a station with very many samples is never packed into one record; sort with
     ``ordered`` to draw.
     """
+    names = ("x_cat", "y_cat", "x_an", "y_an", "x_diamond", "y_diamond")
     rows = dated(df, stations).filter(F.col(STATION).isNotNull())
-    points = rows.filter(F.col("x_cat").isNotNull() & F.col("x_diamond").isNotNull())
-    paths = points.groupBy(STATION).agg(F.count("*").alias("n")).filter("n >= 2").select(STATION)
-    return points.join(paths, STATION, "left_semi").select(
-        STATION, DATE, *present(df, SEQ), "x_cat", "y_cat", "x_an", "y_an", "x_diamond", "y_diamond"
+    plottable = F.col("x_cat").isNotNull() & F.col("x_diamond").isNotNull()
+    # A plain filter on these columns would be pushed below the whole chemistry and
+    # repeat it inside the predicate; an empty ``inline`` drops the row in place.
+    points = rows.select(
+        STATION, DATE, *present(df, SEQ), F.inline(F.when(plottable, F.array(F.struct(*names))))
     )
+    paths = points.groupBy(STATION).agg(F.count("*").alias("n")).filter("n >= 2").select(STATION)
+    return points.join(paths, STATION, "left_semi")
 
 
 def change_summary(df: DataFrame, stations=None, convention: str = "classic") -> DataFrame:
@@ -211,7 +215,7 @@ def median_per_date(
 ) -> DataFrame:
     """Median across stations on every date (and per extra key)."""
     keys = [DATE, *by]
-    out = exact_medians(series.filter(F.col(value).isNotNull()), [value], keys, hot_rows)
+    out = exact_medians(series, [value], keys, hot_rows).filter("n > 0")
     return out.select(*keys, F.col("n"), F.col("median").alias(value))
 
 

@@ -118,9 +118,9 @@ def samples_sql() -> str:
     by = ", ".join(src for _, src in _KEYS)
     return (
         f"lines AS (SELECT {keys}, {mins} FROM lineitem GROUP BY {by}),\n"
-        "placed AS (SELECT lines.*, n_name FROM lines JOIN supplier ON sk = s_suppkey "
+        "located AS (SELECT lines.*, n_name FROM lines JOIN supplier ON sk = s_suppkey "
         "JOIN nation ON s_nationkey = n_nationkey),\n"
-        f"base AS (SELECT *, {items(_BASE)} FROM placed),\n"
+        f"base AS (SELECT *, {items(_BASE)} FROM located),\n"
         f"tot AS (SELECT *, {items(_TOTAL)} FROM base),\n"
         f"samples AS (SELECT {items(_CANONICAL)} FROM tot)"
     )
