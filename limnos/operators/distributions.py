@@ -44,7 +44,8 @@ def balance_histogram(
     half = span.select(F.col("m") * 1.1).scalar()
     at = F.floor((F.col("CBE_pct") + half) / (half * 2.0) * bins).cast("int")
     # Samples without an error fall into the NULL bin, which joins nothing below.
-    counts = df.groupBy(F.when(at.isNotNull(), F.least(at, F.lit(bins - 1))).alias("bin")).agg(F.count("*").alias("n"))
+    binned = df.select(at.alias("bin")).select(F.when(F.col("bin") < bins, F.col("bin")).otherwise(F.when(F.col("bin") >= bins, bins - 1)).alias("bin"))
+    counts = binned.groupBy("bin").agg(F.count("*").alias("n"))
     all_bins = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     out = all_bins.join(counts, "bin", "left")
     width = half * 2.0 / bins
