@@ -55,3 +55,14 @@ def col_or_null(df: DataFrame, name: str) -> Column:
 def rounded(c: Column, digits: int = 6) -> Column:
     """Presentation rounding; adding zero turns -0.0 into 0.0."""
     return F.round(c, digits) + F.lit(0.0)
+
+
+def keep_rows(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows where the condition holds, tested on finished columns.
+
+    A plain filter on long derived columns would be pushed below the steps that
+    derive them and repeat all of them inside the predicate; an empty ``inline``
+    drops the row in place.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(F.inline(F.when(condition, F.array(row))))

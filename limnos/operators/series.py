@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from limnos.constants import MIN_CAMPAIGNS_FOR_TREND
 from limnos.functions.dates import DATE, campaign_day
-from limnos.functions.expr import present
+from limnos.functions.expr import keep_rows, present
 from limnos.operators.diagrams import VERTICES, stiff_labels, vertex_labels
 from limnos.operators.quantiles import HOT_ROWS, exact_medians
 
@@ -98,11 +98,7 @@ def trajectories(df: DataFrame, stations=None) -> DataFrame:
     names = ("x_cat", "y_cat", "x_an", "y_an", "x_diamond", "y_diamond")
     rows = dated(df, stations).filter(F.col(STATION).isNotNull())
     plottable = F.col("x_cat").isNotNull() & F.col("x_diamond").isNotNull()
-    # A plain filter on these columns would be pushed below the whole chemistry and
-    # repeat it inside the predicate; an empty ``inline`` drops the row in place.
-    points = rows.select(
-        STATION, DATE, *present(df, SEQ), F.inline(F.when(plottable, F.array(F.struct(*names))))
-    )
+    points = keep_rows(rows.select(STATION, DATE, *present(df, SEQ), *names), plottable)
     paths = points.groupBy(STATION).agg(F.count("*").alias("n")).filter("n >= 2").select(STATION)
     return points.join(paths, STATION, "left_semi")
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from limnos.plans import chemistry, geometry, quality, temporal  # noqa: F401
+from limnos.plans import chemistry, exchange, geometry, quality, temporal  # noqa: F401
 from limnos.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

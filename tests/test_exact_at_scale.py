@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from limnos.operators.long_series import long_series_statistics
+from limnos.operators.long_series import median_slopes, pair_counts
 from limnos.operators.neighbours import knn_fill
 from limnos.operators.quantiles import exact_quantiles, floor_index
 from limnos.operators.trend import rising_falling, sen_slope, tie_term
@@ -49,22 +49,27 @@ def test_quantiles_of_hot_groups(spark, hot_rows):
         assert got[g] == [v[min(len(v) - 1, int(len(v) * 0.9))]]
 
 
-def test_long_series_split_over_tasks(spark):
+def test_long_series_counts_split_over_tasks(spark):
     rng = np.random.default_rng(7)
     rows, want = [], {}
-    for name, n, drift in (("p", 260, 0.4), ("q", 151, -0.1)):
-        x = np.sort(rng.choice(4000, n, replace=False)) / 365.25
-        y = np.round(rng.normal(0, 1, n) + drift * x, 1)
-        rows += [("s", name, float(a), float(b)) for a, b in zip(x, y)]
-        slopes = [(y[j] - y[i]) / (x[j] - x[i]) for i, j in itertools.combinations(range(n), 2)]
-        want[name] = (n, *brute_pairs(y), tie_term(y), float(np.median(slopes)))
-    points = spark.createDataFrame(rows, "station_code string, parameter string, x double, y double")
-    got = long_series_statistics(points, ["station_code", "parameter"], limit=60).collect()
-    assert len(got) == 2
-    for r in got:
-        n, up, down, ties, slope = want[r["parameter"]]
-        assert (r["n_campaigns"], r["up"], r["down"], r["tie_term"]) == (n, up, down, ties)
-        assert r["slope"] == pytest.approx(slope, abs=1e-9)
+    for name, n in (("p", 260), ("q", 151)):
+        y = np.round(rng.normal(0, 1, n) + np.arange(n) / 300, 1)
+        rows += [("s", name, float(i), float(v)) for i, v in enumerate(y)]
+        want[name] = brute_pairs(y)
+    points = spark.createDataFrame(rows, "station_code string, parameter string, x double, z double")
+    got = pair_counts(points, ["station_code", "parameter"], limit=60).collect()
+    assert {r["parameter"]: (r["up"], r["down"]) for r in got} == want
+
+
+def test_long_series_slope(spark):
+    rng = np.random.default_rng(8)
+    n = 61
+    x = np.sort(rng.choice(4000, n, replace=False)) / 365.25
+    y = np.round(rng.normal(0, 1, n) + 0.4 * x, 1)
+    points = spark.createDataFrame([("s", float(a), float(b)) for a, b in zip(x, y)], "k string, x double, y double")
+    slopes = [(y[j] - y[i]) / (x[j] - x[i]) for i, j in itertools.combinations(range(n), 2)]
+    got = median_slopes(points, ["k"], limit=1000).collect()
+    assert got[0]["slope"] == pytest.approx(np.median(slopes), abs=1e-9)
 
 
 def brute_knn(pdf, cols, k):
