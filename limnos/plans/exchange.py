@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from limnos.constants import ALL_IONS, meq, mgl
+from limnos.constants import ALL_IONS, MAJOR_IONS, meq, mgl
 from limnos.functions import cells
 from limnos.operators import multivariate, neighbours
 from limnos.operators.balance import add_charge_balance
@@ -64,11 +64,11 @@ def src_01(spark, sf):
 
 
 @query("src_04_header_row", sql(
-    "SELECT file, CAST(2 AS BIGINT) AS header_k, CAST(6 AS BIGINT) AS score FROM (" + _FILES + ")", "samples"))
+    "SELECT file, CAST(2 AS BIGINT) AS header_k, CAST(7 AS BIGINT) AS score FROM (" + _FILES + ")", "samples"))
 def src_04(spark, sf):
-    """Six known names: the repeated calcium header counts twice."""
+    """Seven of the eight header cells are known names (the repeated one counts again)."""
     formats = headers.file_formats(headers.head(lab_lines(spark, sf)))
-    return shown(formats.withColumn("score", F.col("score")), "file", "header_k", "score")
+    return shown(formats, "file", "header_k", "score")
 
 
 _NAMES = ["Estación", "Grupo", "Fecha", "Calcio (mg/L)", "Cl⁻", "Fluoruros", "Calcio (mg/L)__2", "columna_8"]
@@ -323,24 +323,26 @@ def full_analysis(spark, sf):
     return shown(df, SEQ, "CBE_flag", "facies", "n_exceedances", "SAR", "Wilcox_class", *_SI, "x_diamond", "durov_x", "lon_wgs84")
 
 
+MAJORS = [mgl(i) for i in MAJOR_IONS]
+
+
 @query("imp_04_nearest_neighbours")
 def imp_04(spark, sf):
-    """Exact neighbours over the whole table; the check engine would need all pairs."""
-    df = neighbours.knn_fill(S.measured(spark, sf), IONS)
-    return shown(df, SEQ, *IONS, *[f"{c}__imputed" for c in IONS])
+    """Exact neighbours of every sample with a major-ion gap; the check engine would need all pairs."""
+    df = neighbours.knn_fill(S.measured(spark, sf), MAJORS)
+    return shown(df, SEQ, *MAJORS, *[f"{c}__imputed" for c in MAJORS])
 
 
 @query("jon_07_nearest_donors")
 def jon_07(spark, sf):
-    vectors = S.measured(spark, sf).select(SEQ, *IONS)
-    _, fills = neighbours.nearest_values(vectors, IONS)
+    _, fills = neighbours.nearest_values(S.measured(spark, sf).select(SEQ, *MAJORS), MAJORS)
     return shown(fills)
 
 
 @query("srt_06_gaps_filled_by_donors")
 def srt_06(spark, sf):
     """Gaps per ion that found donors."""
-    _, fills = neighbours.nearest_values(S.measured(spark, sf).select(SEQ, *IONS), IONS)
+    _, fills = neighbours.nearest_values(S.measured(spark, sf).select(SEQ, *MAJORS), MAJORS)
     return shown(fills.groupBy("target").agg(F.count("*").alias("n"), F.avg("value").alias("mean")))
 
 
