@@ -63,6 +63,24 @@ def src_01(spark, sf):
     return shown(headers.file_formats(headers.head(lab_lines(spark, sf))), "file", "sep", "header_row")
 
 
+@query("src_03_best_sheet", sql(
+    "SELECT file AS book, 'data' AS sheet, CAST(7 AS BIGINT) AS score FROM (" + _FILES + ")", "samples"))
+def src_03(spark, sf):
+    """Each file as a book of two sheets: notes, then data."""
+    from limnos.sources.workbook import best_sheets
+
+    data = lab_lines(spark, sf)
+    notes = data.select("file").distinct().select("file", F.lit(0).cast("bigint").alias("row"), F.lit("notes\tabout\tthis\tbook").alias("text"))
+    sheets = [(data, "data", 1), (notes.withColumn("in_head", F.lit(True)), "notes", 0)]
+    parts = [
+        df.select(
+            F.concat("file", F.lit(f"#{name}")).alias("file"), F.col("file").alias("book"), F.lit(name).alias("sheet"),
+            F.lit(pos).alias("sheet_pos"), "row", "in_head", "text")
+        for df, name, pos in sheets
+    ]
+    return shown(best_sheets(parts[0].unionByName(parts[1])), "book", "sheet", "score")
+
+
 @query("src_04_header_row", sql(
     "SELECT file, CAST(2 AS BIGINT) AS header_k, CAST(7 AS BIGINT) AS score FROM (" + _FILES + ")", "samples"))
 def src_04(spark, sf):
