@@ -43,8 +43,9 @@ def balance_histogram(
     span = df.agg(F.greatest(F.coalesce(F.max(F.abs("CBE_pct")), F.lit(0.0)), F.lit(marginal)).alias("m"))
     half = span.select(F.col("m") * 1.1).scalar()
     at = F.floor((F.col("CBE_pct") + half) / (half * 2.0) * bins).cast("int")
-    # Samples without an error fall into the NULL bin, which joins nothing below.
-    binned = df.select(at.alias("bin")).select(F.when(F.col("bin") < bins, F.col("bin")).otherwise(F.when(F.col("bin") >= bins, bins - 1)).alias("bin"))
+    # Samples without an error go to bin -1, which joins nothing below. A key that is
+    # never NULL also keeps the join from pushing a null test below the chemistry.
+    binned = df.select(F.coalesce(at, F.lit(-1)).alias("bin")).select(F.least("bin", F.lit(bins - 1)).alias("bin"))
     counts = binned.groupBy("bin").agg(F.count("*").alias("n"))
     all_bins = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     out = all_bins.join(counts, "bin", "left")
