@@ -245,11 +245,11 @@ def snk_03(spark, sf):
     f"SELECT sample_seq, 'Feature' AS type, station_code AS estacion, facies AS facies_codigo, {r('Ca_mgL')}, {r('lon_wgs84', 'lon')}, F_mgL IS NOT NULL AS has_f FROM placed", "placed"))
 def snk_04(spark, sf):
     f = writers.geojson_features(S.placed(spark, sf))
-    get = lambda p: F.get_json_object("feature", p)
+    shape = "type string, geometry struct<coordinates: array<double>>, properties struct<estacion: string, facies_codigo: string, Ca_mgL: double, F_mgL: double>"
+    f = f.select(SEQ, F.from_json("feature", shape).alias("f"))
     return shown(f.select(
-        SEQ, get("$.type").alias("type"), get("$.properties.estacion").alias("estacion"), get("$.properties.facies_codigo").alias("facies_codigo"),
-        get("$.properties.Ca_mgL").cast("double").alias("Ca_mgL"), get("$.geometry.coordinates[0]").cast("double").alias("lon"),
-        get("$.properties.F_mgL").isNotNull().alias("has_f")))
+        SEQ, "f.type", "f.properties.estacion", "f.properties.facies_codigo", "f.properties.Ca_mgL",
+        F.get("f.geometry.coordinates", F.lit(0)).alias("lon"), F.col("f.properties.F_mgL").isNotNull().alias("has_f")))
 
 
 @query("snk_05_kml_folders", sql("SELECT \"group\", count(*) AS n, \"group\" || ' (' || count(*) || ')' AS folder FROM placed GROUP BY 1", "placed"))
