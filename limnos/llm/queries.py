@@ -3,6 +3,7 @@
 from limnos.llm import (  # noqa: F401
     mixing,
     sharding,
+    toxicity,
 )
 from limnos.llm.registry import CHECKS, QUERIES
 
