@@ -30,7 +30,7 @@ BLOCK_WORDS = 256
 SLOTS = 1 << 14
 #: Slots are ranked in runs of this many, documents in this many hash buckets per source.
 RUN = 4096
-BUCKET_BITS = 16
+BUCKET_BITS = 12
 _GRID = 1 << 31
 #: The golden ratio's fraction on the grid, odd, so that 2^31 slots visit each grid point once.
 _STEP = round(0.6180339887498949 * _GRID) | 1

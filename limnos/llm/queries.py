@@ -1,6 +1,7 @@
 """All registered queries of this subpackage."""
 
 from limnos.llm import (  # noqa: F401
+    archives,
     mixing,
     sharding,
     toxicity,
