@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from limnos.llm.registry import query, table
 
 #: Labelled rows used for learning, at most; the ones with the smallest hash of their key.
-LABELLED_ROWS = 40_000
+LABELLED_ROWS = 20_000
 #: Pseudo-count of every token in either class.
 PRIOR = 0.5
 #: A weight is its log-odds less so many standard errors.
@@ -112,15 +112,18 @@ def learn(sample: DataFrame) -> Model:
     """Weights, chance law and curve from a bounded sample (text, toxic, fold)."""
     counts = sample.filter(~F.col("fold")).select("text", "toxic").mapInArrow(_token_counts, "token string, n_toxic long, n_clean long")
     counts = counts.groupBy("token").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
-    # The sample is bounded, and so are its tokens.
-    rows = counts.orderBy("token").toPandas()
-    if rows.empty:
+    size = counts.agg(F.count("*").alias("n"), F.sum("n_toxic").alias("t"), F.sum("n_clean").alias("c")).first()
+    if not size["n"]:
         return Model({}, 1.0, 1.0, (0.0,), (0.0,))
-    t, c = rows.n_toxic.to_numpy(float) + PRIOR, rows.n_clean.to_numpy(float) + PRIOR
-    odds = np.log(t / (t.sum() - t)) - np.log(c / (c.sum() - c))
-    weight = np.sign(odds) * np.maximum(0, np.abs(odds) - ERRORS * np.sqrt(1 / t + 1 / c))
-    weights = {w: float(x) for w, x in zip(rows.token, weight, strict=True) if x}
-    decay = _decay(c / c.sum(), weight - DRIFT)
+    all_t, all_c = size["t"] + PRIOR * size["n"], size["c"] + PRIOR * size["n"]
+    t, c = F.col("n_toxic") + PRIOR, F.col("n_clean") + PRIOR
+    odds = F.log(t / (all_t - t)) - F.log(c / (all_c - c))
+    weight = F.signum(odds) * F.greatest(F.lit(0.0), F.abs(odds) - ERRORS * F.sqrt(1 / t + 1 / c))
+    # The sample is bounded, and so are its tokens; only those with a weight come here.
+    rows = counts.select("token", weight.alias("weight"), (c / all_c).alias("chance")).filter("weight <> 0").orderBy("token").toPandas()
+    weights = dict(zip(rows.token, rows.weight.astype(float), strict=True))
+    chance = np.append(rows.chance.to_numpy(float), max(0.0, 1.0 - rows.chance.sum()))
+    decay = _decay(chance, np.append(rows.weight.to_numpy(float), 0.0) - DRIFT)
     sent = sample.sparkSession.sparkContext.broadcast(weights)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
