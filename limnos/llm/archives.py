@@ -163,7 +163,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 def _save(archives: DataFrame, path: str) -> str:
     """One file for each row."""
-    archives.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+    archives.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
     return path
 
 

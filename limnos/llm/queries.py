@@ -3,6 +3,7 @@
 from limnos.llm import (  # noqa: F401
     archives,
     extraction,
+    jaccard,
     mixing,
     neighbours,
     sharding,
