@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnos.session import cut_lineage
+from limnos.session import cut_lineage, scratch_path
 
 #: Side tables of keys up to this many rows are sent to all tasks; larger ones are joined by shuffles.
 SENT_ROWS = 1_000_000
@@ -38,3 +38,10 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The table written as Parquet below the shared folder and read again: a cut in the lineage that is compressed."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -7,6 +7,7 @@ from limnos.llm import (  # noqa: F401
     mixing,
     neighbours,
     sharding,
+    substrings,
     toxicity,
 )
 from limnos.llm.registry import CHECKS, QUERIES

@@ -97,3 +97,22 @@ def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(1, n):
         out = mix64(out * _U(0xA24BAED4963EE407) + words[k : len(words) - n + 1 + k])
     return out
+
+
+def symbol_values(raw: np.ndarray) -> np.ndarray:
+    """A fixed random 64-bit value for each byte."""
+    return _BYTE[raw]
+
+
+def prefix_sums(symbols: np.ndarray) -> np.ndarray:
+    """Sums from which the hash of any run of symbols follows."""
+    pow_, _ = _reach(len(symbols) + 1)
+    out = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum(symbols * pow_[: len(symbols)], out=out[1:])
+    return out
+
+
+def hash_run(sums: np.ndarray, starts: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of a size that start at these places."""
+    _, inv = _reach(len(sums))
+    return mix64((sums[starts + size] - sums[starts]) * inv[starts])
