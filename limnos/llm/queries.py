@@ -8,6 +8,7 @@ from limnos.llm import (  # noqa: F401
     neighbours,
     sharding,
     substrings,
+    suffixes,
     toxicity,
 )
 from limnos.llm.registry import CHECKS, QUERIES
