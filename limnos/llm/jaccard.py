@@ -3,10 +3,10 @@
 A document is the set of its distinct shingles. In one order of all shingles (rarer first, by a count sketch over all
 documents, then by hash) two sets with Jaccard t or more share at least l of their first |x| - ceil(t |x|) + l
 shingles, for every l. Each document takes the l whose estimated cost (postings met, candidates to verify) is least,
-and a pair becomes a candidate when it shares min(l of either) prefix shingles. Candidates are verified exactly.
+and a pair becomes a candidate when it shares min(l of either) prefix shingles, or more where its two sizes ask for it. Candidates are verified exactly.
 
 Equal sets are one node. Two rounds keep groups of near copies from being listed pair by pair: first every document is
-compared with the smallest document of each posting list it shares enough of; then, only between documents that are not
+compared with the one that is the smallest in most of its posting lists; then, only between documents that are not
 yet in one component, all candidates of all lists are verified. So every link that joins two components is found, and
 components are exact.
 
@@ -157,14 +157,15 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     pairs = cut_lineage(pairs.select("a", "b"))
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(checked(cut_lineage(ids)), "id", "left_semi")
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    # The text of b goes to a, so where each b has one a, every text travels once more only.
+    left = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes, np.ndarray] = (b"", _EMPTY)
         for batch in batches:
             keep = []
-            for x, y in zip(byte_views(batch.column("text_a")), byte_views(batch.column("text_b")), strict=True):
+            for x, y in zip(byte_views(batch.column("text_b")), byte_views(batch.column("text_a")), strict=True):
                 if y is not None and y.tobytes() != last[0]:
                     last = (y.tobytes(), shingles(y))
                 keep.append(y is not None and linked(shingles(x), last[1], percent))
@@ -174,6 +175,17 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return cut_lineage(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "u long, v long").distinct())
 
 
+def _needed(n: str, l_: str, m: str, k: str, percent: int):
+    """Prefix tokens that two sets of n and m shingles (with l and k) must share to link.
+
+    Besides min(l, k): all that the shorter-reaching prefix does not hold is its set's rest, so what the prefixes
+    share and the larger rest together must make up the overlap that the two sizes ask for.
+    """
+    rest = [F.expr(f"({percent} * {a} + 99) div 100") - F.col(b) for a, b in ((n, l_), (m, k))]
+    overlap = F.ceil(percent * (F.col(n) + F.col(m)) / float(100 + percent) - 1e-6)
+    return F.greatest(F.least(l_, k), overlap - F.greatest(*rest))
+
+
 def _comparable(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
@@ -183,10 +195,12 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     reps = profiles(docs)
     lists = postings(docs, reps.filter("n > 0").select("doc_id", "rep").distinct(), percent)
-    # Round 1: everyone against the smallest document of its lists.
+    # Round 1: everyone against a smallest document of its lists.
     hub = lists.groupBy("token").agg(F.min(F.struct("rep", "n", "l")).alias("hub"))
     met = lists.join(hub, "token").filter("rep <> hub.rep").select("rep", "n", "l", F.col("hub.rep").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.l").alias("hl")).filter(_comparable("n", "hn", percent))
-    first = met.groupBy("rep", "h").agg(F.count("*").alias("c"), F.min(F.least("l", "hl")).alias("need")).filter("c >= need")
+    first = met.groupBy("rep", "h").agg(F.count("*").alias("c"), F.min(_needed("n", "l", "hn", "hl", percent)).alias("need")).filter("c >= need")
+    # Of the lists' smallest documents, the one that most lists name; the others are left to round 2.
+    first = first.groupBy("rep").agg(F.max_by("h", F.struct("c", -F.col("h"))).alias("h"))
     found = _verified(docs, first.select(F.col("h").alias("a"), F.col("rep").alias("b")), percent)
     comp = cut_lineage(components(found))
     # Round 2: lists that still touch several components.
@@ -195,7 +209,7 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     open_ = cut_lineage(named.join(parted, "token", "left_semi"))
     x, y = open_.alias("x"), open_.alias("y")
     wide = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & _comparable("x.n", "y.n", percent))
-    second = wide.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("x.l", "y.l")).alias("need")).filter("c >= need")
+    second = wide.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("c"), F.min(_needed("x.n", "x.l", "y.n", "y.l", percent)).alias("need")).filter("c >= need")
     more = _verified(docs, second.join(found.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti"), percent)
     # Rows of one doc_id with different texts tie their sets together.
     twice = reps.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v"), F.count_distinct("rep").alias("k")).filter("k > 1").select("doc_id", "u")
