@@ -218,6 +218,18 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One document (all columns) of each component: the one with the smallest doc_id."""
+    found = cut_lineage(join(docs, percent))
+    later = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(checked(later), "doc_id", "left_anti").select(docs.columns)
+    twice = cut_lineage(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if twice.isEmpty():
+        return kept
+    once = kept.join(checked(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(checked(twice), "doc_id", "left_anti").unionByName(once.select(docs.columns)).select(docs.columns)
+
+
 @query("op1_jaccard")
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""

@@ -199,6 +199,23 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_segments int, evidence double, score double, predicted int")
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, all columns, whose text scores below the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            keep = []
+            for text in batch.column("text"):
+                words = tokens(text.as_py() or "")
+                found = evidence(len(words), np.array([x for _, _, x in segments(token_scores(words, m.weights))]), m.decay, m.rate)
+                keep.append(float(np.interp(found, m.knots, m.chances)) < threshold)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 @query("op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
