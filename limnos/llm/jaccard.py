@@ -12,7 +12,7 @@ components are exact.
 
 Defined results: null, empty and wordless texts have an empty set and stand alone; texts with fewer words than a shingle
 are one shingle, the whole sequence; rows with one doc_id are one node, whatever their texts (a link of any of them
-counts), and keep a row each; an empty table gives no rows; extra columns are untouched.
+counts), and keep a row each; a row without a doc_id has the component of its set and links nothing; an empty table gives no rows; extra columns are untouched.
 """
 
 from __future__ import annotations

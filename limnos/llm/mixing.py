@@ -139,5 +139,5 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken; of a document taken in part, the nearest whole number."""
     plan = mix(docs).documents.filter("size > 0").groupBy("key").agg(F.sum("taken").alias("taken"), F.sum("size").alias("all_size"))
     times = F.round(F.col("taken") / F.col("all_size")).cast("int")
-    joined = docs.join(plan.select(F.col("key").alias("__key"), times.alias("__times")), F.col("doc_id") == F.col("__key"))
+    joined = docs.join(plan.select(F.col("key").alias("__key"), times.alias("__times")), F.col("doc_id").eqNullSafe(F.col("__key")))
     return joined.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[f"`{c}`"] for c in docs.columns])

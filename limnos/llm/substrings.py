@@ -7,7 +7,7 @@ later one goes. Runs that only later occurrences share are compared by the hashe
 Defined results: null, empty and wordless texts have no words and lose none; texts of fewer words than a run lose none;
 of equal texts only the one with the smallest doc_id keeps its words; rows that repeat a doc_id with the same text are
 one document and treated alike; a doc_id is taken to have one text (rows that give it others get the spans of any);
-an empty table gives no rows; extra columns are untouched.
+a row without a doc_id loses nothing; an empty table gives no rows; extra columns are untouched.
 """
 
 from __future__ import annotations

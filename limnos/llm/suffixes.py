@@ -11,7 +11,7 @@ All strings of all positions would be 16 bytes for each byte of text in every ro
 
 Defined results: a null text is empty; texts shorter than the threshold lose nothing; all of equal texts that long lose
 everything (each string starts elsewhere too), repeated rows included; a doc_id is taken to have one text (rows that
-give it others get the spans of any); an empty table gives no rows; extra columns are untouched.
+give it others get the spans of any); a row without a doc_id loses nothing; an empty table gives no rows; extra columns are untouched.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ segments (Ruzzo and Tompa). Aggregating: a segment of score S in a text of n tok
 times by chance; the logarithms of these chances below one are summed over the text's segments, and a monotone curve,
 fitted on a fold of the labelled rows that the weights have not seen, turns the sum into a probability.
 
-Defined results: null, empty and wordless texts have no segment and get the curve's lowest value; repeated rows are
+Defined results: a row without a key is never held out; null, empty and wordless texts have no segment and get the curve's lowest value; repeated rows are
 scored alike; without labels every score is 0; extra columns pass by untouched. A label row whose mark is not 0 or 1
 is ignored, and a document labelled twice is toxic if any of its rows says so.
 """
@@ -83,7 +83,7 @@ def token_scores(words: list[str], weights: dict[str, float], drift: float = DRI
 
 
 def held_out(key: Column) -> Column:
-    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
