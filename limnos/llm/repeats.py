@@ -4,13 +4,15 @@ Anchors are chosen by content: of the seed grams in every run of ``span`` symbol
 runs have the same anchor at the same place. Each occurrence of an anchor is extended both ways against the first
 occurrence (its hub), which settles every run that the hub shares, for groups of any size with one comparison each. A run
 that the hub does not share may still be shared by two others; such runs (of anchors met three times or more) are
-compared exactly by their hashes. Equal texts are told apart from the start: only the first of them takes part.
+compared exactly by their hashes. So are all runs around the anchors of two documents that meet in a few anchors only,
+where hashes are less to send than texts. Where a span has many windows for an anchor, blocks of neighbouring windows go
+first: what all windows of a block have in common must occur twice before its windows are hashed one by one. Equal texts are told apart from the start: only the first of them takes part.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.llm.graphs import checked, staged
-from limnos.llm.text import byte_views, hash_run, prefix_sums, symbol_values, word_hashes
+from limnos.llm.text import byte_views, hash_run, mix64, prefix_sums, symbol_values, word_hashes
 
 _PLACE = np.uint64((1 << 20) - 1)
 _STEP = 1 << 19
@@ -28,11 +30,12 @@ _NONE = np.zeros(0, np.uint64)
 
 @dataclass(frozen=True)
 class Unit:
-    """What is counted: words or bytes; runs of ``span``, found by seeds of ``seed`` symbols."""
+    """What is counted: words or bytes; runs of ``span``, found by seeds of ``seed`` symbols; windows of a block."""
 
     words: bool
     span: int
     seed: int
+    block: int = 1
 
     def symbols(self, raw: np.ndarray | None) -> np.ndarray:
         if raw is None or not len(raw):
@@ -107,26 +110,46 @@ def anchors(docs: DataFrame, unit: Unit) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "h long, doc_id long, pos int")
 
 
-def seeds(docs: DataFrame, unit: Unit, copies: DataFrame) -> DataFrame:
-    """doc_id, pos, hub (doc_id, pos) and n (occurrences) of every later occurrence of a repeated anchor."""
+def occurrences(docs: DataFrame, unit: Unit, copies: DataFrame) -> DataFrame:
+    """h, doc_id, pos, hub (doc_id, pos of the first) and n (occurrences) of every occurrence of a repeated anchor."""
     later = copies.filter("doc_id <> first").select("doc_id").distinct()
     found = anchors(docs, unit).join(checked(later), "doc_id", "left_anti")
+    # The group's first and size come from a partial aggregate and are joined back: a hot anchor stays spread.
     group = found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("hub")).filter("n > 1")
-    return found.join(group, "h").filter((F.col("doc_id") != F.col("hub.doc_id")) | (F.col("pos") != F.col("hub.pos"))).select("h", "doc_id", "pos", "hub", "n")
+    return found.join(group, "h").select("h", "doc_id", "pos", "hub", "n")
 
 
-def extended(docs: DataFrame, found: DataFrame, unit: Unit, both: bool, within: Callable | None = None) -> DataFrame:
+def later_ones(found: DataFrame) -> DataFrame:
+    return found.filter((F.col("doc_id") != F.col("hub.doc_id")) | (F.col("pos") != F.col("hub.pos")))
+
+
+def extended(docs: DataFrame, found: DataFrame, unit: Unit, both: bool, least: int = 1) -> DataFrame:
     """Runs and open windows: doc_id, start, end and w (hash of an open window, null for a settled run).
 
-    found: as from ``seeds``, with low and high (offsets of the anchor in a window that can be open) if ``within``.
-    both: whether the hub's side of a run is told too.
+    found: later occurrences, maybe with low and high (offsets of the anchor in a window that can be open).
+    both: whether the hub's side of a run is told too. least: anchors in which two documents must meet for their texts
+    to be compared.
     """
-    limits = ["low", "high"] if within else []
-    item = F.struct("pos", F.col("hub.pos").alias("at"), (F.col("n") > 2).alias("open"), *limits)
+    item = F.struct("pos", F.col("hub.pos").alias("at"), (F.col("n") > 2).alias("open"), *[c for c in ("low", "high") if c in found.columns])
     pairs = staged(found.groupBy("doc_id", F.col("hub.doc_id").alias("hub_id")).agg(F.collect_list(item).alias("items")), "repeat-pairs")
-    ids = pairs.select("doc_id").unionByName(pairs.select(F.col("hub_id").alias("doc_id"))).distinct()
+    many = pairs.filter(F.size("items") >= least)
+    few = pairs.filter(F.size("items") < least).select("doc_id", "hub_id", F.explode("items").alias("i"))
+    if unit.block > 1 and least > 1:
+        raise ValueError("blocks of windows need texts compared")
+    alone = few.select("doc_id", F.col("i.pos").alias("pos")).unionByName(few.select(F.col("hub_id").alias("doc_id"), F.col("i.at").alias("pos")))
+    alone = staged(alone.groupBy("doc_id").agg(F.collect_set("pos").alias("places")), "repeat-places")
+    ids = many.select("doc_id").unionByName(many.select(F.col("hub_id").alias("doc_id"))).unionByName(alone.select("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(checked(staged(ids, "repeat-ids")), "doc_id", "left_semi")
-    rows = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("hub_id"), F.col("text").alias("hub_text")), "hub_id")
+    rows = many.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("hub_id"), F.col("text").alias("hub_text")), "hub_id")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, raw in enumerate(byte_views(batch.column("text"))):
+                x = unit.symbols(raw)
+                places, _ = anchor_of_windows(x, unit)
+                start = np.flatnonzero(np.isin(places, batch.column("places")[i].values.to_numpy()))
+                if len(start):
+                    yield _rows([(np.full(len(start), batch.column("doc_id")[i].as_py()), *_open(x, start, unit))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes, np.ndarray] = (b"", _NONE)
@@ -152,11 +175,39 @@ def extended(docs: DataFrame, found: DataFrame, unit: Unit, both: bool, within:
             if out:
                 yield _rows(out)
 
+    def inside_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, raw in enumerate(byte_views(batch.column("text"))):
+                x = unit.symbols(raw)
+                places, _ = anchor_of_windows(x, unit)
+                items = batch.column("blocks")[i].values
+                asked = items.field("start").to_numpy().astype(np.int64) << 20 | (-1 - items.field("end").to_numpy().astype(np.int64))
+                start = np.arange(len(places))
+                start = start[np.isin(places << 20 | (places - start) // unit.block, asked)]
+                if len(start):
+                    yield _rows([(np.full(len(start), batch.column("doc_id")[i].as_py()), *_open(x, start, unit))])
+
     def _rows(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         doc, s, e, w = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc.astype(np.int64)), "start": pa.array(s.astype(np.int32)), "end": pa.array(e.astype(np.int32)), "w": pa.array(w.view(np.int64), mask=w == 0)})
 
-    return staged(rows.select("doc_id", "hub_id", "items", "text", "hub_text").mapInArrow(run, "doc_id long, start int, end int, w long"), "repeat-runs")
+    schema = "doc_id long, start int, end int, w long"
+    out = rows.select("doc_id", "hub_id", "items", "text", "hub_text").mapInArrow(run, schema)
+    if unit.block > 1:
+        out = staged(out, "repeat-blocks")
+        blocks = out.filter("end < 0")
+        twice = blocks.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w")
+        alone = blocks.join(twice, "w", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("blocks"))
+        texts = docs.select("doc_id", "text").join(checked((alone := staged(alone, "repeat-places")).select("doc_id")), "doc_id", "left_semi")
+        single = alone.join(texts, "doc_id").select("doc_id", "text", "blocks").mapInArrow(inside_blocks, schema)
+        out = out.filter("end >= 0").unionByName(single)
+    elif least > 1:
+        out = out.unionByName(alone.join(texts, "doc_id").select("doc_id", "text", "places").mapInArrow(windows, schema))
+    return staged(out, "repeat-runs")
+
+
+def _open(x: np.ndarray, start: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return start, start + unit.span, hash_run(prefix_sums(x), start, unit.span) | np.uint64(1)
 
 
 def _extend(x: np.ndarray, y: np.ndarray, items: pa.StructArray, unit: Unit) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -191,8 +242,11 @@ def _extend(x: np.ndarray, y: np.ndarray, items: pa.StructArray, unit: Unit) ->
         low, high = (items.field(c).to_numpy(zero_copy_only=False) for c in ("low", "high"))
         offset = places - start
         keep &= (offset >= low[seed]) & (offset <= high[seed])
-    start = start[keep]
-    return [settled, (start, start + unit.span, hash_run(prefix_sums(x), start, unit.span) | np.uint64(1)), hubs]
+    if unit.block == 1:
+        return [settled, _open(x, start[keep], unit), hubs]
+    both = np.unique(np.stack([places[keep], (places - start)[keep] // unit.block], 1), axis=0)
+    core = hash_run(prefix_sums(x), both[:, 0] - both[:, 1] * unit.block, unit.span - unit.block + 1)
+    return [settled, (both[:, 0], -1 - both[:, 1], mix64(core + both[:, 1].astype(np.uint64)) | np.uint64(1)), hubs]
 
 
 def kept_pieces(docs: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:

@@ -30,6 +30,8 @@ from limnos.llm.text import byte_views, hash_run, prefix_sums
 
 LENGTH = 400
 SEED = 32
+#: Strings around an anchor that are ruled out together.
+BLOCK = 32
 
 
 def doubling_lengths(seed: int, length: int) -> list[int]:
@@ -95,13 +97,13 @@ def reaches(docs: DataFrame, tied: DataFrame, unit: repeats.Unit) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """doc_id, start and end (bytes; null end: the whole text) of what lies in a string that occurs twice."""
-    unit = repeats.Unit(False, length, min(seed, length))
+    unit = repeats.Unit(False, length, min(seed, length), min(BLOCK, length))
     copies = repeats.profiles(docs, unit)
-    found = staged(repeats.seeds(docs, unit, copies), "suffix-seeds")
-    # Two occurrences are settled by comparing them; more of them can agree beyond the first one.
-    reach = reaches(docs, found.filter("n > 2").select("doc_id", "pos", "h"), unit)
-    limits = found.join(reach, ["doc_id", "pos"], "left").select("doc_id", "pos", "hub", "n", F.coalesce(F.lit(length) - F.col("right"), F.lit(0)).alias("low"), F.coalesce("left", F.lit(length)).alias("high"))
-    runs = repeats.extended(docs, limits, unit, both=True, within=reaches)
+    found = staged(repeats.occurrences(docs, unit, copies), "suffix-occurrences")
+    reach = reaches(docs, found.select("doc_id", "pos", "h"), unit)
+    # Strings around an anchor that others can share: those that begin and end within its reaches, if any.
+    limits = repeats.later_ones(found).join(reach, ["doc_id", "pos"]).select("doc_id", "pos", "hub", "n", (F.lit(length) - F.col("right")).alias("low"), F.col("left").alias("high")).filter("low <= high")
+    runs = repeats.extended(docs, limits, unit, both=True)
     open_ = runs.filter("w is not null")
     again = open_.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w")
     whole = copies.select("doc_id", F.lit(0).alias("start"), F.lit(None).cast("int").alias("end"))

@@ -53,11 +53,15 @@ def _flagged(df: DataFrame, filled: dict[str, str]) -> DataFrame:
     ).drop(*filled.values())
 
 
+def overall_medians(df: DataFrame, columns: Sequence[str], hot_rows: int = HOT_ROWS) -> dict[str, float | None]:
+    """The median of each column over all rows: one row for each column comes back."""
+    return {r["column"]: r["median"] for r in exact_medians(df, columns, (), hot_rows).collect()}
+
+
 def _median_fill(df: DataFrame, columns: list[str], group: str | None, min_size: int, hot_rows: int) -> DataFrame:
     if group is None:
-        medians = exact_medians(df, columns, (), hot_rows)
-        values = {c: medians.filter(F.col("column") == c).select("median").scalar() for c in columns}
-        df = df.withColumns({f"__fill_{c}": F.coalesce(F.col(c), values[c]) for c in columns})
+        values = overall_medians(df, columns, hot_rows)
+        df = df.withColumns({f"__fill_{c}": F.coalesce(F.col(c), F.lit(values[c]).cast("double")) for c in columns})
     else:
         usable = F.when(F.col("n") >= min_size, F.col("median"))
         wide = (
@@ -78,7 +82,7 @@ def _half_limit_fill(df: DataFrame, columns: list[str], left_censored_only: bool
     Limits of "above" cells are halved too, as laboratories using this policy do,
     unless ``left_censored_only`` is set (needs ``<col>__qualifier``).
     """
-    observed = df.agg(*[F.count(c).alias(c) for c in columns])
+    observed = df.agg(*[F.count(c).alias(c) for c in columns]).first()
     filled = {}
     for c in columns:
         limit = limit_column(c)
@@ -88,8 +92,7 @@ def _half_limit_fill(df: DataFrame, columns: list[str], left_censored_only: bool
         half = F.col(limit) / 2.0
         if left_censored_only:
             half = F.when(F.col(f"{c}__qualifier").startswith("<"), half)
-        any_value = observed.select(c).scalar() > 0
-        filled[f"__fill_{c}"] = F.coalesce(F.col(c), F.when(any_value, half))
+        filled[f"__fill_{c}"] = F.coalesce(F.col(c), half) if observed[c] else F.col(c)
     return _flagged(df.withColumns(filled), {c: f"__fill_{c}" for c in columns})
 
 

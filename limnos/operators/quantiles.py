@@ -2,9 +2,10 @@
 
 Groups up to ``hot_rows`` rows use the built-in exact ``percentile``. Larger
 groups are never held in one task: a mergeable sketch first brackets the wanted
-rank, then only the thin slice of values inside the bracket is counted and
-ranked, with the values just outside it as neighbours. Both ways give the same
-exact value.
+rank, the bracket is counted in ranges of equal width, and only the values of the
+one or two ranges that hold the rank are counted and ranked one by one. Both ways
+give the same rows and the same exact values; a group and column without a value
+has a row with n = 0.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 ACCURACY = 20_000
+#: Ranges into which a bracket is cut.
+RANGES = 4096
 
 Position = Callable[[float, Column], Column]
 
@@ -53,16 +56,17 @@ def _small(df: DataFrame, columns: Sequence[str], probs, keys, position: Positio
 
 
 def _hot(df: DataFrame, columns: Sequence[str], probs, keys, position: Position, accuracy: int) -> DataFrame:
-    """Bracket by sketch, then rank only the bracket."""
+    """Bracket by sketch, count the bracket's ranges, then rank only the range with the rank."""
     by = [*keys, "column"]
-    long = df.unpivot(list(keys), list(columns), "column", "value").filter(F.col("value").isNotNull())
+    long = df.unpivot(list(keys), list(columns), "column", "value")
     margin = 2.0 / accuracy
     edges = [min(max(e, 0.0), 1.0) for p in probs for e in (p - margin, p + margin)]
     sketch = long.groupBy(*by).agg(
         F.count("value").alias("n"),
         F.percentile_approx("value", F.array(*[F.lit(e) for e in edges]), F.lit(accuracy)).alias("edge"),
     )
-    brackets = sketch.select(
+    nothing = sketch.filter("n = 0").select(*by, "n", F.lit(None).cast("array<double>").alias("q"))
+    brackets = sketch.filter("n > 0").select(
         *by,
         "n",
         F.inline(
@@ -79,19 +83,25 @@ def _hot(df: DataFrame, columns: Sequence[str], probs, keys, position: Position,
             )
         ),
     )
-    # One row per (hot group, probability): at most total rows / hot_rows of them.
+    # One row per hot group, column and probability; sizes decide how it is joined.
     placed = (
-        long.alias("l")
-        .join(F.broadcast(brackets).alias("r"), _match(long, brackets, by))
+        long.filter(F.col("value").isNotNull()).alias("l")
+        .join(brackets.alias("r"), _match(long, brackets, by))
         .select(*[F.col(f"r.{c}") for c in by], "r.n", "r.i", "r.pos", "r.lo", "r.hi", "l.value")
     )
+    inside = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * RANGES), F.lit(RANGES - 1))
+    side = F.when(F.col("value") < F.col("lo"), -1).when(F.col("value") > F.col("hi"), RANGES)
+    placed = placed.withColumn("side", side.when(F.col("hi") > F.col("lo"), inside).otherwise(0).cast("int"))
     group = [*by, "i", "n", "pos"]
-    # Below and above the bracket only the neighbour and the count matter; inside it, each value.
-    side = F.when(F.col("value") < F.col("lo"), -1).when(F.col("value") > F.col("hi"), 1).otherwise(0)
-    inside = F.when(F.col("side") == 0, F.col("value"))
+    # At most RANGES + 2 rows of a group are ordered here.
+    ranges = placed.groupBy(*group, "side").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*by, "i").orderBy("side"))
+    held = ranges.withColumn("upto", upto).filter((F.col("upto") > F.floor("pos")) & (F.col("upto") - F.col("c") <= F.ceil("pos")) & F.col("side").between(0, RANGES - 1))
+    held = held.select(*by, "i", "side", F.lit(True).alias("held"))
+    marked = placed.alias("l").join(held.alias("r"), _match(placed, held, [*by, "i", "side"]), "left").select("l.*", "r.held")
+    # Outside these ranges only the neighbour and the count matter; inside them, each value.
     counts = (
-        placed.withColumn("side", side)
-        .withColumn("slot", inside)
+        marked.withColumn("slot", F.when(F.col("held"), F.col("value")))
         .groupBy(*group, "side", "slot")
         .agg(F.count("*").alias("c"), F.min("value").alias("least"), F.max("value").alias("most"))
         .withColumn("v", F.when(F.col("side") < 0, F.col("most")).otherwise(F.col("least")))
@@ -105,12 +115,13 @@ def _hot(df: DataFrame, columns: Sequence[str], probs, keys, position: Position,
     picked = ranked.groupBy(*group).agg(low.alias("a"), high.alias("b"), outside.alias("bad"))
     value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos"))
     value = F.when(F.col("bad") == 1, F.raise_error(F.lit("quantile bracket missed")).cast("double")).otherwise(value)
-    return (
+    found = (
         picked.withColumn("value", value)
         .groupBy(*by, "n")
         .agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("parts"))
         .select(*by, "n", F.col("parts.value").alias("q"))
     )
+    return found.unionByName(nothing)
 
 
 def exact_quantiles(
@@ -124,16 +135,15 @@ def exact_quantiles(
 ) -> DataFrame:
     """``keys…, column, n, q`` with one exact value per probability in ``q``.
 
-    Missing cells are not counted. Groups without a single value may be absent.
+    Missing cells are not counted; without any, n is 0 and ``q`` NULL. ``hot_rows``
+    is the number of cells that the columns of a group may hold in one task.
     """
     keys = list(keys)
     names = keys or ["__all"]
     df = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
     if not keys:
         df = df.withColumn("__all", F.lit(0))
-    hot = df.groupBy(*names).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows).select(*names)
-    # At most total rows / hot_rows groups are hot, which bounds this broadcast.
-    hot = F.broadcast(hot)
+    hot = df.groupBy(*names).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows // max(1, len(columns))).select(*names)
     calm = df.alias("l").join(hot.alias("r"), _match(df, hot, names), "left_anti").select("l.*")
     busy = df.alias("l").join(hot.alias("r"), _match(df, hot, names), "left_semi").select("l.*")
     out = _small(calm, columns, probs, names, position).unionByName(

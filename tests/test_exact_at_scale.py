@@ -111,3 +111,17 @@ def test_nearest_neighbours_match_brute_force(spark, chunk, levels):
     np.testing.assert_allclose(got[cols].to_numpy(), brute_knn(pdf, cols, 5), rtol=1e-9)
     assert got["NO3_mgL"].isna().all() and not got["NO3_mgL__imputed"].any()
     assert (got["Ca_mgL__imputed"] == pdf["Ca_mgL"].isna()).all()
+
+
+def test_both_quantile_ways_give_the_same_rows(spark):
+    from limnos.operators.quantiles import exact_quantiles, floor_index, linear_position
+
+    rows = [(g, None if g == "empty" else float((i * 37) % 11), None, float(i * i % 97) if i % 3 else None) for g in ("a", "b", None, "empty") for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, ties double, nothing double, gaps double")
+    for keys in ((), ("g",)):
+        for position in (linear_position, floor_index):
+            found = [
+                sorted(map(str, exact_quantiles(df, ["ties", "nothing", "gaps"], [0.0, 0.25, 0.5, 0.99], keys, position, hot_rows=n).collect()))
+                for n in (1_000_000, 0)
+            ]
+            assert found[0] == found[1] and len(found[0]) == 3 * (4 if keys else 1)
