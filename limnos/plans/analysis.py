@@ -101,10 +101,12 @@ def automatic_zero_ions(df: DataFrame) -> list[str]:
 
 
 def canonical_table(df: DataFrame, mapping: ColumnMapping | None = None) -> DataFrame:
-    """Mapped, dated and split cells; the sample key is kept when the table has one."""
-    mapping = mapping or ColumnMapping.suggest(df.columns)
+    """Mapped, dated and split cells, with a sample key: the table's own, or one made of file and row."""
+    mapping = mapping or ColumnMapping.of_headers(df.columns)
+    if "sample_seq" not in df.columns and {"file", "row"} <= set(df.columns):
+        df = df.withColumn("sample_seq", F.xxhash64("file", "row"))
     if mapping.mapping:
-        key = [F.col("sample_seq")] if "sample_seq" in df.columns else []
+        key = [F.col(c) for c in ("sample_seq", "file") if c in df.columns and c not in mapping.mapping]
         df = df.select(*key, *[F.col(f"`{s}`").alias(k) for k, s in mapping.mapping.items() if s in df.columns])
     df = apply_cells(normalise_dates(df))
     numeric = {c: F.col(c).try_cast("double") for c in ("longitude", "latitude", "elevation") if c in df.columns}
@@ -136,7 +138,7 @@ def analyse(
     Errors end the run after the rules, before any chemistry.
     """
     options = options or AnalysisOptions()
-    mapping = mapping or ColumnMapping.suggest(source.columns)
+    mapping = mapping or ColumnMapping.of_headers(source.columns)
     mapped = mapping.apply(source) if mapping.mapping else source
     censoring = censoring_summary(mapped)
     canonical = canonical_table(source, mapping)

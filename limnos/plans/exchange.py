@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from limnos.constants import ALL_IONS, MAJOR_IONS, meq, mgl
+from limnos.constants import ALL_IONS, meq, mgl
 from limnos.functions import cells
 from limnos.operators import multivariate, neighbours
 from limnos.operators.balance import add_charge_balance
@@ -341,26 +341,23 @@ def full_analysis(spark, sf):
     return shown(df, SEQ, "CBE_flag", "facies", "n_exceedances", "SAR", "Wilcox_class", *_SI, "x_diamond", "durov_x", "lon_wgs84")
 
 
-MAJORS = [mgl(i) for i in MAJOR_IONS]
-
-
 @query("imp_04_nearest_neighbours")
 def imp_04(spark, sf):
-    """Exact neighbours of every sample with a major-ion gap; the check engine would need all pairs."""
-    df = neighbours.knn_fill(S.measured(spark, sf), MAJORS)
-    return shown(df, SEQ, *MAJORS, *[f"{c}__imputed" for c in MAJORS])
+    """Exact neighbours of every sample with an ion gap; the check engine would need all pairs."""
+    df = neighbours.knn_fill(S.measured(spark, sf), IONS)
+    return shown(df, SEQ, *IONS, *[f"{c}__imputed" for c in IONS])
 
 
 @query("jon_07_nearest_donors")
 def jon_07(spark, sf):
-    _, fills = neighbours.nearest_values(S.measured(spark, sf).select(SEQ, *MAJORS), MAJORS)
+    _, fills = neighbours.nearest_values(S.measured(spark, sf).select(SEQ, *IONS), IONS)
     return shown(fills)
 
 
 @query("srt_06_gaps_filled_by_donors")
 def srt_06(spark, sf):
     """Gaps per ion that found donors."""
-    _, fills = neighbours.nearest_values(S.measured(spark, sf).select(SEQ, *MAJORS), MAJORS)
+    _, fills = neighbours.nearest_values(S.measured(spark, sf).select(SEQ, *IONS), IONS)
     return shown(fills.groupBy("target").agg(F.count("*").alias("n"), F.avg("value").alias("mean")))
 
 
@@ -379,9 +376,24 @@ def agg_16(spark, sf):
     return shown(multivariate.analyse_variables(S.fac(spark, sf)).clusters)
 
 
-@query("imp_07_guards", sql("SELECT CASE WHEN count(*) < 3 THEN 'insufficient' ELSE 'ok' END AS status, count(*) AS n FROM measured WHERE Ca_mgL < 0", "measured"))
+@query("imp_07_guards", sql(union([
+    "SELECT 'samples' AS guard, CASE WHEN count(*) FILTER (WHERE Ca_mgL < 0) < 3 THEN 'insufficient' ELSE 'ok' END AS status, count(*) AS n FROM measured",
+    "SELECT 'variables', 'insufficient', count(*) FROM measured",
+    "SELECT 'variation', 'insufficient', count(*) FROM measured",
+    "SELECT 'none', CASE WHEN count(*) < 3 THEN 'insufficient' ELSE 'ok' END, count(*) FROM measured",
+]), "measured"))
 def imp_07(spark, sf):
-    """Too few samples give a status instead of a result."""
-    df = S.fac(spark, sf).filter("Ca_mgL < 0")
-    status = multivariate.analyse_variables(df).status
-    return shown(df.agg(F.count("*").alias("n")).select(F.lit(status).alias("status"), "n"))
+    """Too few samples, too few variables and no variation give a status instead of a result."""
+    df = S.fac(spark, sf)
+    few = ["Ca_mgL", "Mg_mgL"]
+    others = [c for c in multivariate.FEATURES if c in df.columns and c not in few]
+    cases = {
+        "samples": df.filter("Ca_mgL < 0"),
+        "variables": df.drop(*others),
+        "variation": df.withColumns({c: F.lit(1.0) for c in [*few, *others]}),
+        "none": df,
+    }
+    status = {k: multivariate.analyse_variables(x).status for k, x in cases.items()}
+    counts = df.agg(F.count("*").alias("n"))
+    rows = F.inline(F.array(*[F.struct(F.lit(k).alias("guard"), F.lit(v).alias("status")) for k, v in status.items()]))
+    return shown(counts.select(rows, "n"))

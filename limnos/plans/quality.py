@@ -266,7 +266,7 @@ def agg_08(spark, sf):
     return shown(imputation.zero_counts(S.measured(spark, sf)))
 
 
-_GROUPED = ["Mg_mgL", "K_mgL", "SO4_mgL", "F_mgL", "NO3_mgL"]
+_GROUPED = [mgl(i) for i in ALL_IONS]
 
 
 @query("agg_09_group_medians", sql(union(

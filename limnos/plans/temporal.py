@@ -239,9 +239,9 @@ _TREND_OUT = (
 )
 
 
-@query("tmp_06_mann_kendall", sql(_TREND_OUT, "chem", more=[*_points(["tds_mgl"]), _TREND]))
+@query("tmp_06_mann_kendall", sql(_TREND_OUT, "chem", more=[*_points(SEVEN), _TREND]))
 def tmp_06(spark, sf):
-    out = trend.trend_summary(S.chem(spark, sf), ["tds_mgl"])
+    out = trend.trend_summary(S.chem(spark, sf), SEVEN)
     return shown(out, "station_code", "parameter", "n_campaigns", "minimum", "s", "z", "sen_slope_year", "status")
 
 
@@ -251,17 +251,18 @@ def tmp_07(spark, sf):
     return shown(out, "station_code", "parameter", "n_campaigns", "minimum", "s", "z", "sen_slope_year", "status")
 
 
-@query("scl_08_two_sided_p")
+@query("scl_08_two_sided_p", sql(
+    f"SELECT station_code, parameter, {r('z', 'z')}, {r('CASE WHEN n_campaigns < 8 THEN NULL WHEN var <= 0 THEN 1.0 ELSE ' + trend.two_sided_p_sql('z') + ' END', 'p_value')} FROM tz",
+    "chem", more=[*_points(SEVEN), _TREND]))
 def scl_08(spark, sf):
-    """p-value of every series; the check engine has no error function."""
-    return shown(trend.trend_summary(S.chem(spark, sf), THREE), "station_code", "parameter", "z", "p_value")
+    return shown(trend.trend_summary(S.chem(spark, sf), SEVEN), "station_code", "parameter", "z", "p_value")
 
 
 @query("jon_06_ordered_pairs", sql(
     "SELECT station_code, parameter, n AS n_campaigns, n * (n - 1) // 2 AS n_pairs, up, down, n * (n - 1) // 2 - up - down AS tied "
-    "FROM sizes JOIN pairs USING (station_code, parameter) WHERE n >= 2", "chem", more=_points(THREE)))
+    "FROM sizes JOIN pairs USING (station_code, parameter) WHERE n >= 2", "chem", more=_points(SEVEN)))
 def jon_06(spark, sf):
-    return shown(trend.ordered_pair_counts(S.chem(spark, sf), THREE))
+    return shown(trend.ordered_pair_counts(S.chem(spark, sf), SEVEN))
 
 
 @query("tmp_08_station_bundle", sql(

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from limnos.sources.delimited import name_pattern
 from limnos.sources.headers import file_formats, head, to_canonical
 
 # Recognised extensions, built-in date formats, spreadsheet epoch.
@@ -100,7 +101,7 @@ def _cells(batches):
 
 def read_cells(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Every non-empty cell: ``file, sheet, sheet_pos, row, col, text``."""
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(_cells, CELLS)
+    return spark.read.format("binaryFile").option("pathGlobFilter", name_pattern(SUFFIXES)).load(paths).select("path", "content").mapInPandas(_cells, CELLS)
 
 
 def sheet_lines(cells: DataFrame) -> DataFrame:

@@ -166,7 +166,7 @@ def test_half_limit_skips_unmeasured_columns(spark):
 
 def test_header_names():
     assert normalise_name("Ca²⁺ (mg/L)") == "ca" and normalise_name("HCO₃⁻") == "hco3"
-    assert ColumnMapping.suggest(["Estación", "Calcio", "Ca", "pH campo"]).mapping == {
+    assert ColumnMapping.of_headers(["Estación", "Calcio", "Ca", "pH campo"]).mapping == {
         "station_code": "Estación", "Ca_mgL": "Calcio", "ph": "pH campo"}
 
 
@@ -220,3 +220,35 @@ def test_plans(spark, sf):
     assert "l_extendedprice" not in lean and "l_tax" not in lean
     profile = validation.profile(S.raw(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
     assert profile.count("l_orderkey#") > 0 and profile.count("Relation [l_orderkey") == 1
+
+
+def test_quoted_breaks_bars_suffixes_and_late_descriptions(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Site,Ca,Mg\n"A\n1",10,2\n"B ""x""\n\n2",11,3\nC,12,4\n', encoding="utf-8")
+    (tmp_path / "b.txt").write_text("Site|Ca|Mg\nD|13|5\n", encoding="utf-8")
+    (tmp_path / "c.pdf").write_text("Site,Ca,Mg\nno,1,1\n", encoding="utf-8")
+    (tmp_path / "d.csv").write_text("x\n" * 25 + "Site;Ca;Mg\n" + "\n" * 20 + "code;Calcium;text\nE;14;6\n", encoding="utf-8")
+    (tmp_path / "e.csv").write_text("nothing\nknown here\n", encoding="utf-8")
+    rows = read_lab_files(spark, str(tmp_path)).filter("station_code is not null").select("station_code", "Ca_mgL", "Mg_mgL").collect()
+    assert sorted(map(tuple, rows)) == [("A\n1", "10", "2"), ('B "x"\n\n2', "11", "3"), ("C", "12", "4"), ("D", "13", "5"), ("E", "14", "6")]
+    from limnos.sources.delimited import unreadable_files
+
+    assert [r["file"].rsplit("/", 1)[-1] for r in unreadable_files(spark, str(tmp_path)).collect()] == ["e.csv"]
+
+
+def test_two_sided_p_against_the_error_function(spark):
+    import math
+
+    from limnos.operators.trend import two_sided_p_sql
+
+    zs = [i / 16 for i in range(-160, 161)] + [4.2426, 4.2427, 12.0, 20.0]
+    got = spark.createDataFrame([(z,) for z in zs], "z double").selectExpr("z", two_sided_p_sql("z") + " AS p").collect()
+    assert all(math.isclose(r["p"], math.erfc(abs(r["z"]) / math.sqrt(2)), rel_tol=1e-9, abs_tol=1e-15) for r in got)
+
+
+def test_files_give_a_sample_key(spark, tmp_path):
+    from limnos.plans.analysis import canonical_table
+
+    (tmp_path / "a.csv").write_text("Site,Ca,Mg,pH\nA,10,2,7\nB,11,3,7\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("Site,Ca,Mg,pH\nA,10,2,7\n", encoding="utf-8")
+    rows = canonical_table(read_lab_files(spark, str(tmp_path))).collect()
+    assert len({r["sample_seq"] for r in rows}) == 3 and len({r["file"] for r in rows}) == 2
