@@ -6,8 +6,9 @@ shingles, for every l. Each document takes the l whose estimated cost (postings
 and a pair becomes a candidate when it shares min(l of either) prefix shingles, or more where its two sizes ask for it. Candidates are verified exactly.
 
 Equal sets are one node. Two rounds keep groups of near copies from being listed pair by pair: first every document is
-compared with the one that is the smallest in most of its posting lists; then, only between documents that are not
-yet in one component, all candidates of all lists are verified. So every link that joins two components is found, and
+compared with the one in most of its posting lists that has the fewest rare shingles; then, only between documents that
+are not yet in one component, all candidates are verified. Pairs that need rare shingles to link are looked for in short
+lists alone, so long lists are gone through by few documents. So every link that joins two components is found, and
 components are exact.
 
 Defined results: null, empty and wordless texts have an empty set and stand alone; texts with fewer words than a shingle
@@ -35,8 +36,11 @@ SHINGLE = 5
 PERCENT = 75
 #: Cells of the count sketch (a power of two), which every task holds.
 CELL_BITS = 18
-#: Largest l tried.
-MOST_SHARED = 64
+#: Every l is at least one of so many of the set's shingles; so many longer ones are tried.
+LEAST_PART = 12
+TRIES = 64
+#: Lists of more sets than this are long: pairs are looked for in them only where the rest can't make up a link.
+LONG_LIST = 32
 #: Cost of a posting met and, per shingle of the document, of a candidate, against one posting sent.
 MET, VERIFIED = 0.2, 0.05
 
@@ -65,16 +69,18 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def prefix(found: np.ndarray, cells: np.ndarray, noise: float, percent: int = PERCENT) -> tuple[np.ndarray, int]:
-    """The prefix of a set and its l."""
+def prefix(found: np.ndarray, cells: np.ndarray, noise: float, percent: int = PERCENT) -> tuple[np.ndarray, int, int]:
+    """The prefix of a set, its l, and how far it reaches in the order of all shingles (coarsely: ties are possible)."""
     counts = cells[found >> np.uint64(64 - CELL_BITS)]
     order = np.lexsort((found, counts))
     base = len(found) - int(least_shared(len(found), percent))
-    tries = np.arange(1, min(MOST_SHARED, len(found) - base) + 1)
-    others = np.cumsum(np.maximum(0.0, counts[order[: base + len(tries)]] - noise))[base:]
+    least = -(-len(found) // LEAST_PART)
+    tries = np.arange(least, min(least + TRIES, len(found) - base + 1))
+    others = np.cumsum(np.maximum(0.0, counts[order[: base + tries[-1]]] - noise))[base + least - 1 :]
     cost = tries + MET * others + VERIFIED * len(found) * others / tries
     shared = int(tries[np.argmin(cost)])
-    return found[order[: base + shared]], shared
+    last = order[base + shared - 1]
+    return found[order[: base + shared]], shared, int(min(counts[last], (1 << 38) - 1)) << 24 | int(found[last] >> np.uint64(40))
 
 
 def _batch(**columns) -> pa.RecordBatch:
@@ -86,12 +92,6 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
         yield batch, [shingles(raw) for raw in byte_views(batch.column("text"))]
 
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, sets in _each(batches):
-        digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
-        yield _batch(doc_id=batch.column("doc_id"), n=pa.array([len(s) for s in sets], pa.int64()), d1=pa.array(digests[:, 0]), d2=pa.array(digests[:, 1]))
-
-
 def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << CELL_BITS, np.int64)
     for _, sets in _each(batches):
@@ -110,46 +110,79 @@ def sketch(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n (shingles) and rep (the smallest doc_id with the same set) of every row."""
-    rows = cut_lineage(docs.select("doc_id", "text").mapInArrow(_profiles, "doc_id long, n long, d1 long, d2 long"))
+def profiles(docs: DataFrame, cells: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n (shingles), l and reach of its prefix, and rep (the smallest doc_id with the same set) of every row."""
+    sent = docs.sparkSession.sparkContext.broadcast(cells)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        noise = _noise(sent.value)
+        for batch, sets in _each(batches):
+            digests = np.frombuffer(b"".join(map(_digest, sets)), np.int64).reshape(-1, 2)
+            about = np.array([prefix(s, sent.value, noise, percent)[1:] if len(s) else (0, 0) for s in sets], np.int64).reshape(-1, 2)
+            yield _batch(doc_id=batch.column("doc_id"), n=pa.array([len(s) for s in sets], pa.int64()), l=pa.array(about[:, 0]), reach=pa.array(about[:, 1]), d1=pa.array(digests[:, 0]), d2=pa.array(digests[:, 1]))
+
+    rows = cut_lineage(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, l long, reach long, d1 long, d2 long"))
     first = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    return cut_lineage(rows.join(first, ["d1", "d2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")))
+    return cut_lineage(rows.join(first, ["d1", "d2"], "left").select("doc_id", "n", "l", "reach", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")))
 
 
-def postings(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """token, rep, n and l for every prefix token that two sets share."""
-    cells = sketch(docs)
+def _digest(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
+def _noise(cells: np.ndarray) -> float:
+    """Counts of a cell up to here say nothing about a shingle."""
     mean = float(cells.mean())
-    noise = mean + 3 * mean**0.5 + 1
+    return mean + 3 * mean**0.5 + 1
+
+
+def postings(docs: DataFrame, reps: DataFrame, cells: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """token, rep, n, l, reach, s and long for every prefix token that two sets share."""
     sent = docs.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        noise = _noise(sent.value)
         for batch, sets in _each(batches):
-            out: list[tuple[np.ndarray, int, int]] = []
+            out: list[tuple[np.ndarray, int]] = []
             for doc, s in zip(batch.column("doc_id").to_pylist(), sets, strict=True):
-                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 # A task sends equal sets once.
-                if len(s) and doc is not None and digest not in seen:
+                if len(s) and doc is not None and (digest := _digest(s)) not in seen:
                     seen.add(digest)
-                    part, shared = prefix(s, sent.value, noise, percent)
-                    out.append((part, doc, len(s) << 8 | shared))
+                    out.append((prefix(s, sent.value, noise, percent)[0], doc))
                 if len(out) == 500:
                     yield _rows(out)
                     out = []
             if out:
                 yield _rows(out)
 
-    def _rows(out: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
-        many = [len(p) for p, _, _ in out]
-        return _batch(token=pa.array(np.concatenate([p for p, _, _ in out]).view(np.int64)), doc_id=pa.array(np.repeat([d for _, d, _ in out], many).astype(np.int64)), info=pa.array(np.repeat([i for _, _, i in out], many).astype(np.int64)))
+    def _rows(out: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
+        many = [len(p) for p, _ in out]
+        return _batch(token=pa.array(np.concatenate([p for p, _ in out]).view(np.int64)), doc_id=pa.array(np.repeat([d for _, d in out], many).astype(np.int64)))
 
-    sent_rows = docs.select("doc_id", "text").mapInArrow(run, "token long, doc_id long, info long")
+    sent_rows = docs.select("doc_id", "text").mapInArrow(run, "token long, doc_id long")
     same = Window.partitionBy("token")
     shared = sent_rows.select("*", F.min("doc_id").over(same).alias("low"), F.max("doc_id").over(same).alias("high")).filter("low <> high")
-    one = shared.join(reps, "doc_id").groupBy("token", "rep").agg(F.min("info").alias("info"))
-    return cut_lineage(one.select("token", "rep", F.shiftright("info", 8).alias("n"), F.col("info").bitwiseAND(255).alias("l")))
+    one = shared.join(reps, "doc_id").groupBy("token", "rep").agg(*[F.max(c).alias(c) for c in ("n", "l", "reach")])
+    lists = met_often(met_often(cut_lineage(one), percent), percent)
+    long = lists.groupBy("token").agg((F.count("*") > LONG_LIST).alias("long"))
+    lists = cut_lineage(lists.join(long, "token"))
+    # What a set can share by long lists: what they hold of its prefix, and all that is not in its prefix.
+    rows = lists.groupBy("rep").agg((F.count_if("long") + F.first(F.expr(f"({percent} * n + 99) div 100 - l"))).alias("s"))
+    return cut_lineage(lists.join(rows, "rep").select("token", "rep", "n", "l", "reach", "s", "long"))
+
+
+def met_often(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The lists without the sets that share too few prefix tokens, with all others together, to link with any.
+
+    No partner is smaller than ``percent`` of a set, and none has an l below its size's least.
+    """
+    rows = lists.groupBy("rep").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("l").alias("l"))
+    smallest = F.expr(f"({percent} * n + 99) div 100")
+    few = rows.filter(F.col("c") >= F.least("l", F.ceil(smallest / LEAST_PART))).select("rep")
+    kept = lists.join(few, "rep", "left_semi")
+    ends = kept.groupBy("token").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("token")
+    return cut_lineage(kept.join(ends, "token", "left_semi"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -182,34 +215,51 @@ def _needed(n: str, l_: str, m: str, k: str, percent: int):
     share and the larger rest together must make up the overlap that the two sizes ask for.
     """
     rest = [F.expr(f"({percent} * {a} + 99) div 100") - F.col(b) for a, b in ((n, l_), (m, k))]
-    overlap = F.ceil(percent * (F.col(n) + F.col(m)) / float(100 + percent) - 1e-6)
-    return F.greatest(F.least(l_, k), overlap - F.greatest(*rest))
+    return F.greatest(F.least(l_, k), _overlap(n, m, percent) - F.greatest(*rest))
+
 
+def _overlap(n: str, m: str, percent: int):
+    """Shingles that two sets of n and m must share to link."""
+    return F.ceil(percent * (F.col(n) + F.col(m)) / float(100 + percent) - 1e-6)
 
-def _comparable(a: str, b: str, percent: int):
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+
+def _comparable(n: str, m: str, percent: int):
+    return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row (docs: doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    reps = profiles(docs)
-    lists = postings(docs, reps.filter("n > 0").select("doc_id", "rep").distinct(), percent)
-    # Round 1: everyone against a smallest document of its lists.
-    hub = lists.groupBy("token").agg(F.min(F.struct("rep", "n", "l")).alias("hub"))
-    met = lists.join(hub, "token").filter("rep <> hub.rep").select("rep", "n", "l", F.col("hub.rep").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.l").alias("hl")).filter(_comparable("n", "hn", percent))
-    first = met.groupBy("rep", "h").agg(F.count("*").alias("c"), F.min(_needed("n", "l", "hn", "hl", percent)).alias("need")).filter("c >= need")
-    # Of the lists' smallest documents, the one that most lists name; the others are left to round 2.
+    cells = sketch(docs)
+    reps = profiles(docs, cells, percent)
+    lists = postings(docs, reps.filter("n > 0").distinct(), cells, percent)
+    # Round 1: everyone against the document of its lists with the smallest part of rare shingles: among edited copies,
+    # one that is edited little.
+    lone = (F.lit(1.0) - F.col("s") / F.col("n")).alias("lone")
+    hub = lists.groupBy("token").agg(F.min(F.struct(lone, "rep", "n", "l", "s")).alias("hub"))
+    met = lists.join(hub, "token").filter("rep <> hub.rep").select("rep", "n", "l", F.col("hub.rep").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.l").alias("hl"))
+    met = met.filter(_comparable("n", "hn", percent))
+    first = met.groupBy("rep", "h").agg(F.count("*").alias("c"), F.min(_needed("n", "l", "hn", "hl", percent)).alias("need")).filter("2 * c >= need")
+    # Of the lists' documents of that kind, the one that most lists name (others stand for it in some of the lists); what
+    # stays unlinked is left to round 2.
     first = first.groupBy("rep").agg(F.max_by("h", F.struct("c", -F.col("h"))).alias("h"))
     found = _verified(docs, first.select(F.col("h").alias("a"), F.col("rep").alias("b")), percent)
     comp = cut_lineage(components(found))
     # Round 2: lists that still touch several components.
-    named = lists.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", "l", F.coalesce("component", "rep").alias("c"))
+    named = lists.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", "l", "reach", "s", "long", F.coalesce("component", "rep").alias("c"))
     parted = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("token")
     open_ = cut_lineage(named.join(parted, "token", "left_semi"))
+    # A pair that long lists and the unlisted rest can't link shares rare shingles: it is found in short lists.
     x, y = open_.alias("x"), open_.alias("y")
-    wide = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & _comparable("x.n", "y.n", percent))
-    second = wide.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("c"), F.min(_needed("x.n", "x.l", "y.n", "y.l", percent)).alias("need")).filter("c >= need")
+    # The set whose prefix ends first has all its shared prefix tokens in the other's prefix, too.
+    rest = F.when(F.col("x.reach") < F.col("y.reach"), F.col("x.s")).when(F.col("x.reach") > F.col("y.reach"), F.col("y.s")).otherwise(F.greatest("x.s", "y.s"))
+    by_long = _overlap("x.n", "y.n", percent) <= rest
+    pair = (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & _comparable("x.n", "y.n", percent)
+    wide = x.join(y, pair & (~F.col("x.long") | by_long)).select(
+        F.col("x.rep").alias("a"), F.col("y.rep").alias("b"),
+        F.when(by_long, _needed("x.n", "x.l", "y.n", "y.l", percent)).otherwise(F.greatest(F.lit(1), _overlap("x.n", "y.n", percent) - rest)).alias("need"),
+    )
+    second = wide.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need")).filter("c >= need")
     more = _verified(docs, second.join(found.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti"), percent)
     # Rows of one doc_id with different texts tie their sets together.
     twice = reps.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v"), F.count_distinct("rep").alias("k")).filter("k > 1").select("doc_id", "u")
