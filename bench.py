@@ -23,6 +23,9 @@ HEADLINES = (
     "agg_06_column_statistics",
     "agg_09_group_medians",
     "imp_01_group_median",
+    "imp_02_global_median",
+    "imp_05_principal_components",
+    "src_12_canonical_rows",
     "win_01_change_summary",
     "tmp_07_trend_summary",
     "full_analysis",
