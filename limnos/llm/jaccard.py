@@ -6,7 +6,7 @@ shingles, for every l. Each document takes the l whose estimated cost (postings
 and a pair becomes a candidate when it shares min(l of either) prefix shingles, or more where its two sizes ask for it. Candidates are verified exactly.
 
 Equal sets are one node. Two rounds keep groups of near copies from being listed pair by pair: first every document is
-compared with the one in most of its posting lists that has the fewest rare shingles; then, only between documents that
+compared with the one in most of its posting lists that has the fewest shingles of its own; then, only between documents that
 are not yet in one component, all candidates are verified. Pairs that need rare shingles to link are looked for in short
 lists alone, so long lists are gone through by few documents. So every link that joins two components is found, and
 components are exact.
@@ -137,7 +137,7 @@ def _noise(cells: np.ndarray) -> float:
 
 
 def postings(docs: DataFrame, reps: DataFrame, cells: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """token, rep, n, l, reach, s and long for every prefix token that two sets share."""
+    """token, rep, n, l, reach, s, lone (part in no list) and long for every prefix token that two sets share."""
     sent = docs.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +168,10 @@ def postings(docs: DataFrame, reps: DataFrame, cells: np.ndarray, percent: int =
     long = lists.groupBy("token").agg((F.count("*") > LONG_LIST).alias("long"))
     lists = cut_lineage(lists.join(long, "token"))
     # What a set can share by long lists: what they hold of its prefix, and all that is not in its prefix.
-    rows = lists.groupBy("rep").agg((F.count_if("long") + F.first(F.expr(f"({percent} * n + 99) div 100 - l"))).alias("s"))
-    return cut_lineage(lists.join(rows, "rep").select("token", "rep", "n", "l", "reach", "s", "long"))
+    unlisted = F.first(F.expr(f"({percent} * n + 99) div 100 - l"))
+    lone = (F.lit(1.0) - (F.count("*") + unlisted) / F.first("n")).alias("lone")
+    rows = lists.groupBy("rep").agg((F.count_if("long") + unlisted).alias("s"), lone)
+    return cut_lineage(lists.join(rows, "rep").select("token", "rep", "n", "l", "reach", "s", "lone", "long"))
 
 
 def met_often(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -233,10 +235,9 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     cells = sketch(docs)
     reps = profiles(docs, cells, percent)
     lists = postings(docs, reps.filter("n > 0").distinct(), cells, percent)
-    # Round 1: everyone against the document of its lists with the smallest part of rare shingles: among edited copies,
-    # one that is edited little.
-    lone = (F.lit(1.0) - F.col("s") / F.col("n")).alias("lone")
-    hub = lists.groupBy("token").agg(F.min(F.struct(lone, "rep", "n", "l", "s")).alias("hub"))
+    # Round 1: everyone against the document of its lists with the smallest part of shingles of its own: among edited
+    # copies, one that is edited little.
+    hub = lists.groupBy("token").agg(F.min(F.struct("lone", "rep", "n", "l")).alias("hub"))
     met = lists.join(hub, "token").filter("rep <> hub.rep").select("rep", "n", "l", F.col("hub.rep").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.l").alias("hl"))
     met = met.filter(_comparable("n", "hn", percent))
     first = met.groupBy("rep", "h").agg(F.count("*").alias("c"), F.min(_needed("n", "l", "hn", "hl", percent)).alias("need")).filter("2 * c >= need")
