@@ -55,7 +55,8 @@ def _flagged(df: DataFrame, filled: dict[str, str]) -> DataFrame:
 
 def overall_medians(df: DataFrame, columns: Sequence[str], hot_rows: int = HOT_ROWS) -> dict[str, float | None]:
     """The median of each column over all rows: one row for each column comes back."""
-    return {r["column"]: r["median"] for r in exact_medians(df, columns, (), hot_rows).collect()}
+    found = {r["column"]: r["median"] for r in exact_medians(df, columns, (), hot_rows).collect()}
+    return {c: found.get(c) for c in columns}
 
 
 def _median_fill(df: DataFrame, columns: list[str], group: str | None, min_size: int, hot_rows: int) -> DataFrame:

@@ -114,10 +114,11 @@ def src_06(spark, sf):
 
 @query("src_07_description_row", sql(f'SELECT file, CAST(3 AS BIGINT) AS "row" FROM ({_FILES})', "samples"))
 def src_07(spark, sf):
-    heads = headers.head(lab_lines(spark, sf))
+    lines = lab_lines(spark, sf)
+    heads = headers.head(lines)
     formats = headers.file_formats(heads)
     mapped = headers.map_columns(headers.header_names(heads, formats))
-    return shown(headers.description_rows(heads, formats, mapped))
+    return shown(headers.description_rows(lines, formats, mapped))
 
 
 @query("src_09_normalised_names", sql(union(
