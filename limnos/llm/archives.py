@@ -80,8 +80,10 @@ def arc_record(version: int, name: str, offset: int, key: int | None, url: str |
 
 
 def read_arc(data: bytes) -> Iterator[dict[str, str | bytes]]:
-    """Fields and body of each record after the version block, by that block's own list of fields."""
+    """Fields and body of each record after the version block, by that block's own list of fields; none of an empty file."""
     data = _inflated(data)
+    if not data:
+        return
 
     def step(at: int, names: list[str] | None) -> tuple[dict, int]:
         end = data.index(b"\n", at)
