@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from limnos.llm.graphs import checked, components
 from limnos.llm.registry import query, table
-from limnos.llm.text import byte_views, mix64, run_hashes, word_hashes
+from limnos.llm.text import WORD_PATTERN, byte_views, mix64, run_hashes, word_hashes
 from limnos.session import cut_lineage
 
 SHINGLE = 5
@@ -281,7 +281,22 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return kept.join(checked(twice), "doc_id", "left_anti").unionByName(once.select(docs.columns)).select(docs.columns)
 
 
-@query("op1_jaccard")
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CHECK = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{WORD_PATTERN}') AS ws FROM documents),
+p AS (SELECT doc_id, len(ws) AS size, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM t),
+win AS (SELECT doc_id, size, pos, string_agg(word, ' ') OVER w AS s, count(*) OVER w AS n FROM p
+        WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {SHINGLE - 1} FOLLOWING)),
+sh AS (SELECT DISTINCT doc_id, s FROM win WHERE n = {SHINGLE} OR (size < {SHINGLE} AND pos = 1)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.doc_id)
+SELECT r.doc_id, coalesce(any_value(z.n), 0) AS n_shingles, min(r.root) AS component_id FROM reach r LEFT JOIN sizes z ON z.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
+@query("op1_jaccard", _CHECK)
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return join(table(spark, sf_dir, "documents"))

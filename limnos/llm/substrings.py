@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from limnos.llm import repeats
 from limnos.llm.registry import query, table
+from limnos.llm.text import WORD_PATTERN
 
 WINDOW = 20
 SEED = 6
@@ -43,7 +44,19 @@ def keep_first(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return repeats.kept_pieces(docs, repeated_spans(docs, window), repeats.Unit(True, window, min(SEED, window)))
 
 
-@query("op5_substrings")
+_CHECK = rf"""
+WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '{WORD_PATTERN}')) AS word, generate_subscripts(regexp_extract_all(text, '{WORD_PATTERN}'), 1) AS pos FROM documents),
+win AS (SELECT doc_id, pos, string_agg(word, ' ') OVER w AS s, count(*) OVER w AS n FROM p
+        WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+later AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) AS k FROM win WHERE n = {WINDOW}) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, pos + unnest(range({WINDOW})) AS pos FROM later)
+SELECT d.doc_id, count(p.word) AS n_words, count(g.pos) AS n_removed,
+       sha256(coalesce(string_agg(p.word, ' ' ORDER BY p.pos) FILTER (WHERE g.pos IS NULL), '')) AS kept_sha256
+FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.pos = p.pos GROUP BY d.doc_id
+"""
+
+
+@query("op5_substrings", _CHECK)
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that repeat an earlier run of 20 words."""
-    return keep_first(table(spark, sf_dir, "documents")).select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256", "n_spans")
+    return keep_first(table(spark, sf_dir, "documents")).select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256")
