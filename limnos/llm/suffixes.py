@@ -117,7 +117,20 @@ def drop_repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return repeats.kept_pieces(docs, repeated_spans(docs, length), repeats.Unit(False, length, min(SEED, length)))
 
 
-@query("op4_suffixes")
+_CHECK = f"""
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, b, unnest(range(1, octet_length(b) + 1)) AS pos FROM t),
+win AS (SELECT doc_id, pos, hex(b[pos:pos]) AS byte, CASE WHEN pos + {LENGTH - 1} <= octet_length(b) THEN md5(b[pos:pos + {LENGTH - 1}]) END AS s FROM p),
+twice AS (SELECT doc_id, pos, byte, s IS NOT NULL AND count(*) OVER (PARTITION BY s) > 1 AS r FROM win),
+cover AS (SELECT doc_id, pos, byte, bool_or(r) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW) AS gone FROM twice),
+edge AS (SELECT doc_id, pos, byte, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS first FROM cover)
+SELECT t.doc_id, count(e.pos) AS n_bytes, count(*) FILTER (WHERE e.gone) AS n_removed, count(*) FILTER (WHERE e.first) AS n_spans,
+       sha256(unhex(coalesce(string_agg(e.byte, '' ORDER BY e.pos) FILTER (WHERE NOT e.gone), ''))) AS kept_sha256
+FROM t LEFT JOIN edge e ON e.doc_id = t.doc_id GROUP BY t.doc_id
+"""
+
+
+@query("op4_suffixes", _CHECK)
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents in strings of 400 bytes that occur twice."""
     return drop_repeated(table(spark, sf_dir, "documents")).select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
