@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from limnos.llm.graphs import checked, components
+from limnos.llm.graphs import checked, components, staged
 from limnos.llm.registry import query, table
 from limnos.llm.text import WORD_PATTERN, byte_views, mix64, run_hashes, word_hashes
 from limnos.session import cut_lineage
@@ -163,28 +163,21 @@ def postings(docs: DataFrame, reps: DataFrame, cells: np.ndarray, percent: int =
     sent_rows = docs.select("doc_id", "text").mapInArrow(run, "token long, doc_id long")
     same = Window.partitionBy("token")
     shared = sent_rows.select("*", F.min("doc_id").over(same).alias("low"), F.max("doc_id").over(same).alias("high")).filter("low <> high")
-    one = shared.join(reps, "doc_id").groupBy("token", "rep").agg(*[F.max(c).alias(c) for c in ("n", "l", "reach")])
-    lists = met_often(met_often(cut_lineage(one), percent), percent)
-    long = lists.groupBy("token").agg((F.count("*") > LONG_LIST).alias("long"))
-    lists = cut_lineage(lists.join(long, "token"))
-    # What a set can share by long lists: what they hold of its prefix, and all that is not in its prefix.
-    unlisted = F.first(F.expr(f"({percent} * n + 99) div 100 - l"))
-    lone = (F.lit(1.0) - (F.count("*") + unlisted) / F.first("n")).alias("lone")
-    rows = lists.groupBy("rep").agg((F.count_if("long") + unlisted).alias("s"), lone)
-    return cut_lineage(lists.join(rows, "rep").select("token", "rep", "n", "l", "reach", "s", "lone", "long"))
-
-
-def met_often(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The lists without the sets that share too few prefix tokens, with all others together, to link with any.
-
-    No partner is smaller than ``percent`` of a set, and none has an l below its size's least.
-    """
-    rows = lists.groupBy("rep").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("l").alias("l"))
+    # Only the pairs of token and set travel; what the prefixes are like is joined at the end.
+    one = staged(shared.select("token", "doc_id").join(reps.select("doc_id", "rep").distinct(), "doc_id").select("token", "rep").distinct(), "jaccard-lists")
+    about = reps.groupBy("rep").agg(*[F.max(c).alias(c) for c in ("n", "l", "reach")])
+    # Sets that share too few prefix tokens, with all others together, to link with any: no partner is smaller than
+    # ``percent`` of a set, and none has an l below its size's least.
     smallest = F.expr(f"({percent} * n + 99) div 100")
-    few = rows.filter(F.col("c") >= F.least("l", F.ceil(smallest / LEAST_PART))).select("rep")
-    kept = lists.join(few, "rep", "left_semi")
-    ends = kept.groupBy("token").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("token")
-    return cut_lineage(kept.join(ends, "token", "left_semi"))
+    enough = one.groupBy("rep").agg(F.count("*").alias("k")).join(about, "rep").filter(F.col("k") >= F.least("l", F.ceil(smallest / LEAST_PART))).select("rep")
+    kept = staged(one.join(enough, "rep", "left_semi"), "jaccard-lists")
+    sizes = kept.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token", (F.col("k") > LONG_LIST).alias("long"))
+    lists = staged(kept.join(sizes, "token"), "jaccard-lists")
+    # What a set can share by long lists: what they hold of its prefix, and all that is not in its prefix.
+    unlisted = F.expr(f"({percent} * n + 99) div 100 - l")
+    rows = lists.groupBy("rep").agg(F.count("*").alias("k"), F.count_if("long").alias("in_long")).join(about, "rep")
+    rows = rows.select("rep", "n", "l", "reach", (F.col("in_long") + unlisted).alias("s"), (F.lit(1.0) - (F.col("k") + unlisted) / F.col("n")).alias("lone"))
+    return lists.join(rows, "rep").select("token", "rep", "n", "l", "reach", "s", "lone", "long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -234,7 +227,7 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cells = sketch(docs)
     reps = profiles(docs, cells, percent)
-    lists = postings(docs, reps.filter("n > 0").distinct(), cells, percent)
+    lists = staged(postings(docs, reps.filter("n > 0").distinct(), cells, percent), "jaccard-lists")
     # Round 1: everyone against the document of its lists with the smallest part of shingles of its own: among edited
     # copies, one that is edited little.
     hub = lists.groupBy("token").agg(F.min(F.struct("lone", "rep", "n", "l")).alias("hub"))
@@ -249,7 +242,7 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Round 2: lists that still touch several components.
     named = lists.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", "l", "reach", "s", "long", F.coalesce("component", "rep").alias("c"))
     parted = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("token")
-    open_ = cut_lineage(named.join(parted, "token", "left_semi"))
+    open_ = staged(named.join(parted, "token", "left_semi"), "jaccard-open")
     # A pair that long lists and the unlisted rest can't link shares rare shingles: it is found in short lists.
     x, y = open_.alias("x"), open_.alias("y")
     # The set whose prefix ends first has all its shared prefix tokens in the other's prefix, too.
