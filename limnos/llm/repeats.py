@@ -88,15 +88,16 @@ def profiles(docs: DataFrame, unit: Unit) -> DataFrame:
 
 
 def anchors(docs: DataFrame, unit: Unit) -> DataFrame:
-    """h, doc_id and pos of every anchor; a task sends equal texts once."""
+    """h, doc_id and pos of every anchor; a task sends rows that repeat a doc_id and its text once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[tuple[int, bytes]] = set()
         for batch in batches:
             h, d, p = [_NONE], [], []
             for doc, raw in zip(batch.column("doc_id").to_pylist(), byte_views(batch.column("text")), strict=True):
                 symbols = unit.symbols(raw)
-                if doc is None or len(symbols) < unit.span or (mark := _digest(symbols)) in seen:
+                # Copies under another doc_id are told apart by the caller: which of them is the first, a task can't know.
+                if doc is None or len(symbols) < unit.span or (mark := (doc, _digest(symbols))) in seen:
                     continue
                 seen.add(mark)
                 places, grams = anchor_of_windows(symbols, unit)

@@ -1,11 +1,13 @@
 """Byte and word repeats against brute force on every window."""
 
 import hashlib
+import random
 
 import numpy as np
 from collections import Counter
 
 from limnos.llm import repeats, substrings, suffixes
+from tests.llm.conftest import prose
 
 
 def by_id(found):
@@ -52,6 +54,18 @@ def test_words_that_repeat_earlier_ones(docs, rows):
                 assert (r["n"], r["n_removed"], r["kept_sha256"]) == (len(w), gone.sum(), hashlib.sha256(kept).hexdigest()), i
 
 
+def test_copies_met_before_the_smallest_doc_id(spark):
+    rng = random.Random(11)
+    text = prose(rng, 300, 5000)
+    text[220:260] = text[20:60]
+    parts = {k: prose(rng, 60, 5000) + text[k : k + 90] + prose(rng, 60, 5000) for k in (100, 150, 205)}
+    # One task meets the copies in falling order, so the first of them last; each passage is shared with one other document.
+    rows = [(9, " ".join(text)), (7, " ".join(text)), (3, " ".join(text)), (1, " ".join(parts[100])), (5, " ".join(parts[150])), (8, " ".join(parts[205])), (3, " ".join(text))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    test_bytes_that_occur_twice(table, rows)
+    test_words_that_repeat_earlier_ones(table, rows)
+
+
 def test_row_counts_and_empty_tables(docs, rows, nothing):
     assert suffixes.drop_repeated(docs).count() == substrings.keep_first(docs).count() == len(rows)
     assert suffixes.drop_repeated(nothing).count() == substrings.keep_first(nothing).count() == 0
