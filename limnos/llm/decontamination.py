@@ -5,18 +5,23 @@ all items. Documents are read as passages of twice the longest item of a length
 item fits into one. A passage first passes an exact bound: common words together can give an item at most so much, so
 without enough weight on its rarer words no item can reach the threshold. What passes is searched by WAND with block
 maxima, which returns all items above the threshold. A retrieved item counts as leaked when enough of the word
-trigrams of its question and of its answer stand in the passage or an item's length around it.
+trigrams of its question and of its answer stand in the passage or an item's length around it. Items of fewer than
+``LEAST_WORDS`` words leak where their whole word sequence stands, which a trie of all of them finds.
+
+Words are runs of letters and digits; scripts written without spaces (Chinese, Japanese, Thai, ...) count a word for each
+character.
 
 The index is sent to the tasks in blocks of ``ITEMS`` items, one round for each block; documents are never shuffled.
 
-Defined results: null and empty documents have no passage; items of fewer than ``LEAST_WORDS`` words are matched nowhere,
-as chance would match them; equal items are found alike; a document leaks an item once, at its best passage (ties: the
+Defined results: null and empty documents have no passage; items without a word are matched nowhere; items of fewer than
+``LEAST_WORDS`` words leak wherever they stand, by chance too (a one-word item into every document with the word); equal items are found alike; a document leaks an item once, at its best passage (ties: the
 first); rows that repeat a doc_id are one document; empty tables give no rows; extra columns are untouched.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,18 +39,31 @@ RETRIEVED = 0.5
 #: Share of the trigrams of question and of answer that makes a leak.
 OVERLAP = 0.5
 GRAM = 3
+#: Items of fewer words are matched as a whole, with passages of twice SHORT_STEP words.
 LEAST_WORDS = 5
+SHORT_STEP = 32
 #: Items of an index block sent at a time; postings under one block maximum.
 ITEMS = 20_000
 POSTINGS = 16
 #: Texts bounded together.
 TEXTS = 100
 _WORD = re.compile(r"\w+")
-_PARTS = re.compile(r"(?<=[.!?:])\s+|\n+")
+_PARTS = re.compile(r"(?<=[.!?:])\s+|(?<=[。！？：｡])|\n+")
+# Thai, Lao, Myanmar, Tai Le to Khmer symbols, Tai Tham, Balinese, kana, Bopomofo, Han, Javanese, Tai Viet, and their extensions.
+_UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x3005, 0x3007), (0x3021, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+)
+_CHARACTERS = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _UNSPACED)
+_MARKS = "".join(re.escape(chr(c)) for a, b in _UNSPACED if b < 0x10000 for c in range(a, b + 1) if unicodedata.category(chr(c))[0] == "M")
+_ANY_CHARACTER = re.compile(f"[{_CHARACTERS}]")
+# A character keeps the vowel signs and tones written on it.
+_CHARACTER_OR_WORD = re.compile(f"(?=\\w)[{_CHARACTERS}][{_MARKS}]*|[^\\W{_CHARACTERS}]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    text = text.lower()
+    return (_WORD if text.isascii() or not _ANY_CHARACTER.search(text) else _CHARACTER_OR_WORD).findall(text)
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
@@ -198,6 +216,56 @@ class Index:
         return [c for c in cursors if c[0] >= 0]
 
 
+@dataclass
+class Short:
+    """A trie of the word sequences of short items: edges (node, word) in order, the nodes they lead to, and items that end there."""
+
+    width: int
+    edges: np.ndarray
+    nodes: np.ndarray
+    ends: np.ndarray  # whether an item ends at the node
+    ids: dict[int, list[int]]
+
+    @staticmethod
+    def build(rows: list[tuple[int, str]], numbers: dict[str, int]) -> Short:
+        """rows: id and text of the items; numbers: the vocabulary."""
+        width = len(numbers) + 1
+        tree: dict[int, int] = {}
+        ids: dict[int, list[int]] = {}
+        for item, text in rows:
+            words = words_of(text)
+            if 0 < len(words) < LEAST_WORDS:
+                node = 0
+                for w in words:
+                    node = tree.setdefault(node * width + numbers[w], len(tree) + 1)
+                ids.setdefault(node, []).append(item)
+        edges = np.array(sorted(tree), np.int64)
+        ends = np.zeros(len(tree) + 1, bool)
+        ends[list(ids)] = True
+        return Short(width, edges, np.array([tree[e] for e in edges.tolist()], np.int64), ends, ids)
+
+    def search(self, found: np.ndarray, text_of: np.ndarray, places: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item id, place of the first match, words) of every item in each text.
+
+        found: number of each word of all texts, or -1; text_of and places: its text and its place there.
+        """
+        out = []
+        start, node = np.arange(len(found)), np.zeros(len(found), np.int64)
+        for depth in range(LEAST_WORDS - 1 if len(self.edges) else 0):
+            inside = start + depth < len(found)
+            start, node = start[inside], node[inside]
+            at = start + depth
+            key = node * self.width + found[at]
+            edge = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            hit = (found[at] >= 0) & (text_of[at] == text_of[start]) & (self.edges[edge] == key)
+            start, node = start[hit], self.nodes[edge[hit]]
+            ended = self.ends[node]
+            _, first = np.unique(text_of[start[ended]] * len(self.ends) + node[ended], return_index=True)
+            for s, n in zip(start[ended][first].tolist(), node[ended][first].tolist(), strict=True):
+                out += [(int(text_of[s]), item, int(places[s]), depth + 1) for item in self.ids[n]]
+        return out
+
+
 class _Numbers(dict):
     """Numbers of the vocabulary's words; -1 (the last place) for any other."""
 
@@ -206,20 +274,19 @@ class _Numbers(dict):
 
 
 def build_indexes(rows: list[tuple[int, str]], frequency: dict[str, int], total: int, average: float) -> tuple[dict[str, int], list[Index]]:
-    """The vocabulary and an index for each class of item lengths."""
+    """The vocabulary and an index for each class of item lengths, from ``LEAST_WORDS`` words on."""
     classes: dict[int, list[tuple[int, str]]] = {}
-    for item, text in rows:
-        if (size := len(words_of(text))) >= LEAST_WORDS:
-            classes.setdefault(max(32, 1 << (size - 1).bit_length()), []).append((item, text))
     numbers: dict[str, int] = {}
-    for c in classes.values():
-        for _, text in c:
-            for w in words_of(text):
-                numbers.setdefault(w, len(numbers))
+    for item, text in rows:
+        words = words_of(text)
+        if len(words) >= LEAST_WORDS:
+            classes.setdefault(max(32, 1 << (len(words) - 1).bit_length()), []).append((item, text))
+        for w in words:
+            numbers.setdefault(w, len(numbers))
     return numbers, [Index.build(c, numbers, frequency, total, average, step) for step, c in sorted(classes.items())]
 
 
-def leaks_of(texts: list[str], numbers: dict[str, int], indexes: list[Index]) -> list[tuple[int, int, float, int, float, float]]:
+def leaks_of(texts: list[str], numbers: dict[str, int], indexes: list[Index], short: Short) -> list[tuple[int, int, float, int, float, float]]:
     """(text's place, item id, score, first word of the passage, overlap of question and of answer) of every leak."""
     known = _Numbers(numbers)
     words = [words_of(t) for t in texts]
@@ -227,8 +294,14 @@ def leaks_of(texts: list[str], numbers: dict[str, int], indexes: list[Index]) ->
     found = np.fromiter((k for w in words for k in map(known.__getitem__, w)), np.int64, sizes.sum())
     firsts = np.cumsum(sizes) - sizes
     at = np.flatnonzero(found >= 0)
-    text_of = np.repeat(np.arange(len(texts)), sizes)[at]
+    whose = np.repeat(np.arange(len(texts)), sizes)
+    text_of = whose[at]
     best: dict[tuple[int, int], tuple[float, int, float, float]] = {}
+    for k, item, place, size in short.search(found, whose, np.arange(len(found)) - firsts[whose]):
+        # The first passage that holds the match.
+        low = max(0, -(-(place + size) // SHORT_STEP) - 2) * SHORT_STEP
+        if (k, item) not in best or low < best[k, item][1]:
+            best[k, item] = (1.0, low, 1.0, 1.0)
     for index in indexes:
         term = index.local[found[at]]
         mine = term >= 0
@@ -270,7 +343,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         rows = [(r["item_id"], r["text"]) for r in block.orderBy("item_id", "text").collect()]
         known = frequency.join(F.broadcast(block.mapInArrow(_word_rows, "word string").distinct()), "word", "left_semi") if rounds > 1 else frequency
         counts = {r["word"]: r["n"] for r in known.collect()}
-        sent = spark.sparkContext.broadcast(build_indexes(rows, counts, about["n"], about["average"]))
+        numbers, indexes = build_indexes(rows, counts, about["n"], about["average"])
+        sent = spark.sparkContext.broadcast((numbers, indexes, Short.build(rows, numbers)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:

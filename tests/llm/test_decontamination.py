@@ -59,3 +59,30 @@ def test_blocks_of_items_give_the_same_leaks(spark, monkeypatch):
     parts = sorted(map(tuple, dec.leaks(table, bench).collect()))
     assert [r[:2] for r in whole] == [r[:2] for r in parts] == [(i, i) for i, _ in items]
     assert dec.leaks(table.limit(0), bench).count() == dec.leaks(table, bench.limit(0)).count() == 0
+
+
+def test_short_items_leak_as_a_whole(spark):
+    rng = random.Random(9)
+    fill = lambda n: " ".join(f"w{rng.randrange(800)}" for _ in range(n))
+    items = [(1, "Paris."), (2, "of the river"), (3, "the river Seine, Paris"), (4, "Of the RIVER!"), (5, "..."), (6, item(rng, 20)), (7, "never met")]
+    docs = [
+        (1, fill(100) + " paris " + fill(90)), (2, fill(30) + " of the\nriver " + fill(9)), (3, "river the of parisian"), (4, "of the"), (5, fill(70) + " The river Seine (Paris)"),
+        (6, "of the blue river"), (7, "never"), (8, "met"), (9, None), (10, items[5][1] + " of"), (11, "the river x of the river of the river seine paris"),
+    ]
+    table = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = {(r["doc_id"], r["item_id"]): r for r in dec.leaks(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(1, 1), (2, 2), (2, 4), (5, 1), (5, 3), (10, 6), (11, 1), (11, 2), (11, 3), (11, 4)}
+    assert [got[k]["start"] for k in ((1, 1), (2, 2), (5, 3))] == [64, 0, 32] and got[1, 1]["score"] == 1.0
+    only = dec.leaks(table, spark.createDataFrame(items[:1], "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in only} == {1, 5, 11}
+
+
+def test_scripts_without_spaces(spark):
+    assert dec.words_of("Wasser 水は H2O") == ["wasser", "水", "は", "h2o"]
+    assert dec.words_of("ที่นี่ ฿5") == ["ที่", "นี่", "5"]
+    rng = random.Random(10)
+    fill = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    items = [(1, fill(30) + "？" + fill(8) + "。"), (2, "東京都"), (3, "น้ำคืออะไร คำตอบคือของเหลว"), (4, fill(14))]
+    docs = [(i, fill(60) + t + fill(60)) for i, t in items] + [(5, fill(200)), (6, "京東都"), (7, items[0][1][:30])]
+    got = dec.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in (1, 2, 3, 4)}
