@@ -55,7 +55,10 @@ _BAD_WORDS = frozenset(
 )
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+# A cheap first look; _hidden decides.
+_HIDDEN = re.compile(r"hidden|display", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=/>][^\s=/>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_DISPLAY = re.compile(r"(?:^|;)(?:\s|/\*.*?\*/)*display\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I | re.S)
 _WORD = re.compile(r"\w+")
 _SPACE = re.compile(r"\s+")
 
@@ -92,11 +95,21 @@ def _region(name: str, attributes: str, outer: str) -> str:
         return "bad"
     if attributes:
         words = {w for m in _NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-        if name not in ("html", "body") and (words & _BAD_WORDS or _HIDDEN.search(attributes)):
+        if name not in ("html", "body") and (words & _BAD_WORDS or (_HIDDEN.search(attributes) and _hidden(attributes))):
             return "bad"
     return "main" if name in _MAIN_TAGS else outer
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether an element is unseen: by attributes of its own name hidden or aria-hidden, or by its style's last display (an important one first)."""
+    values: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        values.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or "").strip().lower())
+    found = _DISPLAY.findall(values.get("style", ""))
+    display = [x for x, important in found if important] or [x for x, _ in found]
+    return values.get("hidden", "false") != "false" or values.get("aria-hidden") == "true" or display[-1:] == ["none"]
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, with what the rules ask about them."""
     out: list[Block] = []

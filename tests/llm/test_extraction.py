@@ -24,6 +24,19 @@ def test_unmarked_pages_are_judged_by_words_links_and_neighbours():
     assert main_text(page(body)) == "\n".join(["Heading", (LINE * 4).strip(), "Short.", (LINE * 4).strip()])
 
 
+def test_hidden_only_as_an_attribute_or_a_style():
+    kept = f"<article><p>{LINE * 3}</p></article>"
+    seen = (
+        'class="overflow-hidden"', "class='hidden-xs visually hidden'", "class=hidden", 'style="overflow:hidden"', 'style="overflow: hidden; color: red"', 'data-x="hidden"', "data-hidden", 'data-style="display:none"',
+        'title="a hidden place"', 'title="display:none"', 'style="--display:none"', 'style="display:none;display:block"', 'hidden="false"', 'aria-hidden="false"', 'title="aria-hidden=true"', 'id=x/hidden',
+    )
+    for attributes in seen:
+        assert main_text(page(f"<div {attributes}>{kept}</div>")) == (LINE * 3).strip(), attributes
+    unseen = ("hidden", "HIDDEN=''", 'class="a"hidden', 'id="x" hidden=hidden', 'hidden="until-found"', 'aria-hidden="true"', "aria-hidden=true", 'style="display:none"', "style='color:red; Display : NONE !important'", 'style="display:none;overflow:hidden"', "style=display:none", 'style="display:none!important;display:block"', 'style="/* x */ display:none"')
+    for attributes in unseen:
+        assert main_text(page(f"<div {attributes}>{kept}</div>")) == "", attributes
+
+
 def test_broken_markup():
     assert main_text(f"<article><p><b>{LINE * 3}<br><p>next <i>one</p></b>") == f"{(LINE * 3).strip()}\nnext one"
     assert main_text("<article>a<!-- b --><script>c") == "a"
