@@ -71,7 +71,8 @@ class Forest:
     def search(self, x: np.ndarray, leaves: int) -> list[tuple[int, int]]:
         """(tree, leaf) of the leaves nearest to a query, over all trees by one queue of margins."""
         point = np.append(x, 0.0)
-        point = point / (np.linalg.norm(point) or 1.0)
+        # Of the same norm as the points that are placed, which the offsets are for.
+        point = point * ((self.radius or 1.0) / (np.linalg.norm(point) or 1.0))
         heap = [(-np.inf, t, 0 if len(tree[0]) else -1) for t, tree in enumerate(self.trees)]
         margins = [normals @ point - offsets for normals, offsets, _ in self.trees]
         heapq.heapify(heap)

@@ -50,3 +50,13 @@ def test_leaves_hold_every_point_once():
         assert np.bincount(at[:, t]).max() <= 20
     most = sum(len(o) + 1 for _, o, _ in forest.trees)
     assert len(set(forest.search(x[0], most))) == most >= leaves_needed(forest, x, 5)
+
+
+def test_length_of_the_vectors_changes_no_search():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 12))
+    x = np.repeat(centres, 40, axis=0) + 0.2 * rng.normal(size=(800, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest, longer = grow(x, 1.0), grow(10 * x, 10.0)
+    assert leaves_needed(longer, 10 * x, 10) == leaves_needed(forest, x, 10)
+    assert [longer.search(10 * v, 6) for v in x[:50]] == [forest.search(v, 6) for v in x[:50]]
