@@ -2,6 +2,7 @@
 
 from limnos.llm import (  # noqa: F401
     archives,
+    chats,
     decontamination,
     extraction,
     jaccard,
