@@ -320,6 +320,6 @@ FROM wide GROUP BY conv_id
 def op13_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one that speaks in control strings, formatted as ids and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    planted = spark.createDataFrame([(-1, 0, "user", _PLANTED), (-1, 1, "assistant", _PLANTED)], "conv_id long, turn long, role string, text string")
+    planted = spark.range(0, 2, 1, 1).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.expr("if(id = 0, 'user', 'assistant')").alias("role"), F.lit(_PLANTED).alias("text"))
     chats = Chats(spark)
     return digests(chats.turns(chats.formatted(rows.unionByName(planted))))
