@@ -8,6 +8,7 @@ from limnos.llm import (  # noqa: F401
     jaccard,
     mixing,
     neighbours,
+    ranking,
     sharding,
     substrings,
     suffixes,
