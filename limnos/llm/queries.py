@@ -7,6 +7,7 @@ from limnos.llm import (  # noqa: F401
     extraction,
     jaccard,
     mixing,
+    negatives,
     neighbours,
     ranking,
     sharding,
