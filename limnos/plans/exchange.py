@@ -16,6 +16,7 @@ from limnos.plans.stages import r, rs, sql
 from limnos.session import scratch_path
 from limnos.sinks import cards, writers
 from limnos.sources import headers, mapping, synthetic
+from limnos.sources.delimited import read_lab_files, read_lines
 
 SEQ = "sample_seq"
 IONS = [mgl(i) for i in ALL_IONS]
@@ -26,41 +27,82 @@ def union(parts) -> str:
 
 
 # --- laboratory files derived from the samples -----------------------------------
-# One file per group; the separator depends on the length of its name. Two title
-# lines, the header, a description line, then one line per sample.
+# One real file per group; the separator depends on the length of its name. Two title
+# lines, the header, a description line, then one record per sample, whose first cell is
+# plain, has a quote inside, or is quoted round a separator, quotes or a line break.
 
 _HEADER = ["Estación", "Grupo", "Fecha", "Calcio (mg/L)", "Cl⁻", "Fluoruros", "Calcio (mg/L)", ""]
-_COLUMNS = ["station_code", "group", "sampled_at", "Ca_mgL", "Cl_mgL", "F_mgL", "tds_mgl", "none"]
+_DESCRIPTION = ["code", "zone", "day", "Calcium", "Chloride", "Fluoride", "TDS", ""]
+
+
+def _separator(name: str):
+    return F.get(F.array(*[F.lit(s) for s in headers.SEPARATORS]), F.length(name) % 4)
 
 
 def lab_lines(spark, sf):
-    df = S.raw(spark, sf)
-    sep = F.get(F.array(*[F.lit(s) for s in headers.SEPARATORS]), F.length("group") % 3)
-    quoted = F.concat(F.lit('"'), F.col("F_mgL"), F.lit('"'))
+    df, sep = S.raw(spark, sf), _separator("group")
+    plain, quoted = F.col("station_code"), lambda *more: F.concat(F.lit('"'), "station_code", *more, F.lit('"'))
+    station = F.get(F.array(plain, F.concat(plain, F.lit(' 3" norte')), quoted(sep, F.lit("b")), quoted(F.lit(' ""A""')), quoted(F.lit("\nsur"))), F.col(SEQ) % 5)
+    fluoride = F.concat(F.lit('"'), F.col("F_mgL"), F.lit('"'))
     values = [
-        F.col("station_code"), F.col("group"), F.date_format("sampled_at", "yyyy-MM-dd"), F.col("Ca_mgL").cast("string"),
-        F.format_string("%.3f", F.col("Cl_mgL")), quoted, F.format_string("%.3f", F.col("tds_mgl")), F.lit(""),
+        station, F.col("group"), F.date_format("sampled_at", "yyyy-MM-dd"), F.col("Ca_mgL").cast("string"),
+        F.format_string("%.3f", F.col("Cl_mgL")), fluoride, F.format_string("%.3f", F.col("tds_mgl")), F.lit(""),
     ]
     data = df.select(F.col("group").alias("file"), (F.col(SEQ) + 100).alias("row"), F.call_function("concat_ws", sep, *values).alias("text"))
-    names = df.select(F.col("group").alias("file")).distinct()
-    sep = F.get(F.array(*[F.lit(s) for s in headers.SEPARATORS]), F.length("file") % 3)
-    top = [
-        F.concat(F.lit("Laboratory report "), F.col("file")), F.lit(""),
-        F.call_function("concat_ws", sep, *[F.lit(h) for h in _HEADER]),
-        F.call_function("concat_ws", sep, *[F.lit(t) for t in ("code", "zone", "day", "Calcium", "Chloride", "Fluoride", "TDS", "")]),
-    ]
+    names, sep = df.select(F.col("group").alias("file")).distinct(), _separator("file")
+    top = [F.concat(F.lit("Laboratory report "), F.col("file")), F.lit("")]
+    top += [F.call_function("concat_ws", sep, *map(F.lit, cells_)) for cells_ in (_HEADER, _DESCRIPTION)]
     first = names.select("file", F.posexplode(F.array(*top)).alias("row", "text"))
-    lines = first.select("file", F.col("row").cast("bigint").alias("row"), "text").unionByName(data)
-    return lines.withColumn("in_head", F.lit(True))
+    return first.select("file", F.col("row").cast("bigint").alias("row"), "text").unionByName(data)
+
+
+def lab_folder(spark, sf) -> str:
+    """The lines written as files, one per group."""
+    path = scratch_path(spark, "laboratory")
+    lab_lines(spark, sf).repartition("file").sortWithinPartitions("file", "row").select("file", "text").write.partitionBy("file").text(path)
+    return path
+
+
+def lab_records(spark, sf):
+    """The records read from the files, which are named by their group."""
+    return read_lines(spark, lab_folder(spark, sf)).withColumn("file", F.regexp_extract("file", "file=([^/]+)/", 1))
 
 
+def _texts(kind: str) -> str:
+    """Check SQL of a line's text: kind is title, header, description or data."""
+    sep = "(CASE length(file) % 4 WHEN 0 THEN ';' WHEN 1 THEN ',' WHEN 2 THEN chr(9) ELSE '|' END)"
+    if kind == "title":
+        return "'Laboratory report ' || file"
+    if kind in ("header", "description"):
+        return "concat_ws(" + ", ".join([sep, *(f"'{c}'" for c in (_HEADER if kind == "header" else _DESCRIPTION))]) + ")"
+    station = f"CASE sample_seq % 5 WHEN 0 THEN station_code WHEN 1 THEN station_code || ' 3\" norte' WHEN 2 THEN '\"' || station_code || {sep} || 'b\"' WHEN 3 THEN '\"' || station_code || ' \"\"A\"\"\"' ELSE '\"' || station_code || chr(10) || 'sur\"' END"
+    rest = "file, strftime(sampled_at, '%Y-%m-%d'), CAST(CAST(Ca_mgL AS DOUBLE) AS VARCHAR), format('{:.3f}', Cl_mgL), '\"' || F_mgL || '\"', format('{:.3f}', tds_mgl), ''"
+    return f"concat_ws({sep}, {station}, {rest})"
+
+
+_HEADER_AT = f"(strlen({_texts('title')}) + 2)::BIGINT"
+_DESCRIPTION_AT = f"({_HEADER_AT} + strlen({_texts('header')}) + 1)::BIGINT"
+_BODY_AT = f"({_DESCRIPTION_AT} + strlen({_texts('description')}) + 1)::BIGINT"
+_STATION = "CASE sample_seq % 5 WHEN 0 THEN station_code WHEN 1 THEN station_code || ' 3\" norte' WHEN 2 THEN station_code || (CASE length(file) % 4 WHEN 0 THEN ';' WHEN 1 THEN ',' WHEN 2 THEN chr(9) ELSE '|' END) || 'b' WHEN 3 THEN station_code || ' \"A\"' ELSE station_code || chr(10) || 'sur' END"
+_PLACED = (
+    f"SELECT *, ({_BODY_AT} + coalesce(sum(strlen({_texts('data')}) + 1) OVER (PARTITION BY file ORDER BY sample_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS \"row\" "
+    'FROM (SELECT *, "group" AS file FROM samples)'
+)
 _FILES = 'SELECT DISTINCT "group" AS file FROM samples'
 
 
 @query("src_01_separators", sql(
-    "SELECT file, CASE length(file) % 3 WHEN 0 THEN ';' WHEN 1 THEN ',' ELSE chr(9) END AS sep, CAST(2 AS BIGINT) AS header_row FROM (" + _FILES + ")", "samples"))
+    f"SELECT file, CASE length(file) % 4 WHEN 0 THEN ';' WHEN 1 THEN ',' WHEN 2 THEN chr(9) ELSE '|' END AS sep, {_HEADER_AT} AS header_row FROM ({_FILES})", "samples"))
 def src_01(spark, sf):
-    return shown(headers.file_formats(headers.head(lab_lines(spark, sf))), "file", "sep", "header_row")
+    return shown(headers.file_formats(headers.head(lab_records(spark, sf))), "file", "sep", "header_row")
+
+
+@query("src_01_records", sql(
+    f"SELECT file, \"row\", {_texts('data')} AS text FROM ({_PLACED}) UNION ALL SELECT file, 0, {_texts('title')} FROM ({_FILES}) UNION ALL SELECT file, strlen({_texts('title')}) + 1, '' FROM ({_FILES}) "
+    f"UNION ALL SELECT file, {_HEADER_AT}, {_texts('header')} FROM ({_FILES}) UNION ALL SELECT file, {_DESCRIPTION_AT}, {_texts('description')} FROM ({_FILES})", "samples"))
+def src_01_records(spark, sf):
+    """Every record of the files, named by its byte offset; quoted breaks stay inside."""
+    return shown(lab_records(spark, sf), "file", "row", "text")
 
 
 @query("src_03_best_sheet", sql(
@@ -69,7 +111,7 @@ def src_03(spark, sf):
     """Each file as a book of two sheets: notes, then data."""
     from limnos.sources.workbook import best_sheets
 
-    data = lab_lines(spark, sf)
+    data = lab_records(spark, sf).select("file", "row", "text", "in_head")
     notes = data.select("file").distinct().select("file", F.lit(0).cast("bigint").alias("row"), F.lit("notes\tabout\tthis\tbook").alias("text"))
     sheets = [(data, "data", 1), (notes.withColumn("in_head", F.lit(True)), "notes", 0)]
     parts = [
@@ -85,7 +127,7 @@ def src_03(spark, sf):
     "SELECT file, CAST(2 AS BIGINT) AS header_k, CAST(7 AS BIGINT) AS score FROM (" + _FILES + ")", "samples"))
 def src_04(spark, sf):
     """Seven of the eight header cells are known names (the repeated one counts again)."""
-    formats = headers.file_formats(headers.head(lab_lines(spark, sf)))
+    formats = headers.file_formats(headers.head(lab_records(spark, sf)))
     return shown(formats, "file", "header_k", "score")
 
 
@@ -94,13 +136,13 @@ _NAMES = ["Estación", "Grupo", "Fecha", "Calcio (mg/L)", "Cl⁻", "Fluoruros",
 
 @query("src_05_header_names", sql(union(f"SELECT file, CAST({i} AS BIGINT) AS pos, '{n}' AS name FROM ({_FILES})" for i, n in enumerate(_NAMES)), "samples"))
 def src_05(spark, sf):
-    heads = headers.head(lab_lines(spark, sf))
+    heads = headers.head(lab_records(spark, sf))
     return shown(headers.header_names(heads, headers.file_formats(heads)))
 
 
 @query("win_03_repeated_names", sql(f"SELECT 'Calcio (mg/L)__2' AS name, count(*) AS n FROM ({_FILES})", "samples"))
 def win_03(spark, sf):
-    heads = headers.head(lab_lines(spark, sf))
+    heads = headers.head(lab_records(spark, sf))
     names = headers.header_names(heads, headers.file_formats(heads))
     return shown(names.filter(F.col("name").rlike("__[0-9]+$")).groupBy("name").agg(F.count("*").alias("n")))
 
@@ -108,13 +150,13 @@ def win_03(spark, sf):
 @query("src_06_filled_columns", sql(
     f"SELECT file, CAST(pos AS BIGINT) AS pos FROM ({_FILES}) CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6)) v(pos)", "samples"))
 def src_06(spark, sf):
-    lines = lab_lines(spark, sf)
+    lines = lab_records(spark, sf)
     return shown(headers.filled_columns(lines, headers.file_formats(headers.head(lines))))
 
 
-@query("src_07_description_row", sql(f'SELECT file, CAST(3 AS BIGINT) AS "row" FROM ({_FILES})', "samples"))
+@query("src_07_description_row", sql(f'SELECT file, {_DESCRIPTION_AT} AS "row" FROM ({_FILES})', "samples"))
 def src_07(spark, sf):
-    lines = lab_lines(spark, sf)
+    lines = lab_records(spark, sf)
     heads = headers.head(lines)
     formats = headers.file_formats(heads)
     mapped = headers.map_columns(headers.header_names(heads, formats))
@@ -125,7 +167,7 @@ def src_07(spark, sf):
     f"SELECT '{n}' AS name, '{k}' AS normal, count(*) AS n FROM ({_FILES})"
     for n, k in zip(_NAMES, ["estacion", "grupo", "fecha", "calcio", "cl", "fluoruros", "calcio_2", "columna_8"])), "samples"))
 def src_09(spark, sf):
-    heads = headers.head(lab_lines(spark, sf))
+    heads = headers.head(lab_records(spark, sf))
     names = headers.header_names(heads, headers.file_formats(heads))
     out = names.withColumn("normal", mapping.normalised(F.col("name")))
     return shown(out.groupBy("name", "normal").agg(F.count("*").alias("n")))
@@ -136,23 +178,29 @@ _FIELDS = [("station_code", 0), ("group", 1), ("sampled_at", 2), ("Ca_mgL", 3),
 
 @query("src_10_column_mapping", sql(union(f"SELECT file, '{f}' AS field, CAST({p} AS BIGINT) AS pos FROM ({_FILES})" for f, p in _FIELDS), "samples"))
 def src_10(spark, sf):
-    heads = headers.head(lab_lines(spark, sf))
+    heads = headers.head(lab_records(spark, sf))
     return shown(headers.map_columns(headers.header_names(heads, headers.file_formats(heads))), "file", "field", "pos")
 
 
 @query("jon_05_header_alias", sql(union(f"SELECT '{f}' AS field, count(*) AS n FROM ({_FILES})" for f, _ in _FIELDS), "samples"))
 def jon_05(spark, sf):
-    heads = headers.head(lab_lines(spark, sf))
+    heads = headers.head(lab_records(spark, sf))
     mapped = headers.map_columns(headers.header_names(heads, headers.file_formats(heads)))
     return shown(mapped.groupBy("field").agg(F.count("*").alias("n")))
 
 
 @query("src_12_canonical_rows", sql(
-    "SELECT \"group\" AS file, sample_seq, station_code, strftime(sampled_at, '%Y-%m-%d') AS sampled_at, CAST(CAST(Ca_mgL AS DOUBLE) AS VARCHAR) AS Ca_mgL, "
-    "format('{:.3f}', Cl_mgL) AS Cl_mgL, nullif(F_mgL, '') AS F_mgL FROM samples", "samples"))
+    f"SELECT file, \"row\", {_STATION} AS station_code, strftime(sampled_at, '%Y-%m-%d') AS sampled_at, CAST(CAST(Ca_mgL AS DOUBLE) AS VARCHAR) AS Ca_mgL, "
+    f"format('{{:.3f}}', Cl_mgL) AS Cl_mgL, nullif(F_mgL, '') AS F_mgL FROM ({_PLACED})", "samples"))
 def src_12(spark, sf):
-    out = headers.to_canonical(lab_lines(spark, sf)).withColumn(SEQ, F.col("row") - 100)
-    return shown(out, "file", SEQ, "station_code", "sampled_at", "Ca_mgL", "Cl_mgL", "F_mgL")
+    return shown(headers.to_canonical(lab_records(spark, sf)), "file", "row", "station_code", "sampled_at", "Ca_mgL", "Cl_mgL", "F_mgL")
+
+
+@query("win_06_file_keys", sql("SELECT count(*) AS n, count(*) AS n_keys, CAST(0 AS BIGINT) AS n_repeated FROM samples", "samples"))
+def win_06_file_keys(spark, sf):
+    """Keys of all samples read from the files."""
+    rows = read_lab_files(spark, lab_folder(spark, sf))
+    return shown(rows.agg(F.count("*").alias("n"), F.count_distinct(SEQ).alias("n_keys"), (F.count("*") - F.count_distinct(SEQ)).alias("n_repeated")))
 
 
 @query("src_08_other_inputs", sql("SELECT station_code, count(*) AS n, count(*) FILTER (WHERE CBE_flag = 'rejected') AS n_rejected FROM chem GROUP BY 1", "chem"))

@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from limnos.sources.delimited import name_pattern
 from limnos.sources.headers import file_formats, head, to_canonical
+from limnos.sources.records import name_pattern
 
 # Recognised extensions, built-in date formats, spreadsheet epoch.
 SUFFIXES = (".xlsx", ".xlsm", ".xltx", ".xltm")
