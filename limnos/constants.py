@@ -31,8 +31,8 @@ IONS: dict[str, Ion] = {
 ALL_IONS = tuple(IONS)
 CATIONS = tuple(k for k in IONS if IONS[k].charge > 0)
 ANIONS = tuple(k for k in IONS if IONS[k].charge < 0)
+# Major ions, field measures.
 MAJOR_IONS = ("Ca", "Mg", "Na", "K", "HCO3", "SO4", "Cl")
-
 PHYSCHEM = ("ph", "temp_c", "do_mgl", "tds_mgl", "ec_uscm")
 
 # Equivalent weights (g/eq). The first table follows from the

@@ -61,6 +61,7 @@ CONVENTIONS = {
         "notebook", (("Ca",), ("Mg",), ("Na", "K")), (("HCO3", "CO3"), ("SO4",), ("Cl", "F", "NO3")), False
     ),
 }
+# Fixed value: gap between the diagram's triangles.
 PIPER_GAP = 0.6
 
 
@@ -194,6 +195,7 @@ def stiff_nice_axis(df: DataFrame, template: str | StiffTemplate = "standard") -
 
 # --- Durov -------------------------------------------------------------------
 
+# Fixed value: side of a panel beside the square.
 DUROV_PANEL = 0.55
 DUROV_GAP = 0.12
 
