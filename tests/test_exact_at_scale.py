@@ -97,8 +97,8 @@ def brute_knn(pdf, cols, k):
     return out
 
 
-@pytest.mark.parametrize("chunk, levels", [(20, 2), (2048, None)])
-def test_nearest_neighbours_match_brute_force(spark, chunk, levels):
+@pytest.mark.parametrize("chunk, leaf", [(20, 17), (2048, 512)])
+def test_nearest_neighbours_match_brute_force(spark, chunk, leaf):
     rng = np.random.default_rng(3)
     cols = ["Ca_mgL", "Mg_mgL", "Na_mgL", "F_mgL"]
     m = rng.gamma(2.0, 20.0, (160, 4))
@@ -107,7 +107,7 @@ def test_nearest_neighbours_match_brute_force(spark, chunk, levels):
     m[61] = np.nan
     pdf = pd.DataFrame(m, columns=cols).assign(sample_seq=range(160), NO3_mgL=np.nan)
     df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "Ca_mgL double, Mg_mgL double, Na_mgL double, F_mgL double, sample_seq long, NO3_mgL double")
-    got = knn_fill(df, [*cols, "NO3_mgL"], 5, chunk=chunk, levels=levels).orderBy("sample_seq").toPandas()
+    got = knn_fill(df, [*cols, "NO3_mgL"], 5, chunk=chunk, leaf=leaf).orderBy("sample_seq").toPandas()
     np.testing.assert_allclose(got[cols].to_numpy(), brute_knn(pdf, cols, 5), rtol=1e-9)
     assert got["NO3_mgL"].isna().all() and not got["NO3_mgL__imputed"].any()
     assert (got["Ca_mgL__imputed"] == pdf["Ca_mgL"].isna()).all()
