@@ -8,8 +8,8 @@ and a pair becomes a candidate when it shares min(l of either) prefix shingles,
 Equal sets are one node. Two rounds keep groups of near copies from being listed pair by pair: first every document is
 compared with the one in most of its posting lists that has the fewest shingles of its own; then, only between documents that
 are not yet in one component, all candidates are verified. Pairs that need rare shingles to link are looked for in short
-lists alone, so long lists are gone through by few documents. So every link that joins two components is found, and
-components are exact.
+lists alone, and the others only where both have enough prefix tokens left to reach the number they must share, so long
+lists are gone through by few documents. So every link that joins two components is found, and components are exact.
 
 Defined results: null, empty and wordless texts have an empty set and stand alone; texts with fewer words than a shingle
 are one shingle, the whole sequence; rows with one doc_id are one node, whatever their texts (a link of any of them
@@ -222,6 +222,34 @@ def _comparable(n: str, m: str, percent: int):
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
+def _candidates(open_: DataFrame, percent: int) -> DataFrame:
+    """a and b of all pairs of different components that share as many of the open lists' tokens as they need.
+
+    All sets go through their tokens in one order, short lists first. At the first token that a pair shares, each of the two
+    still has as many tokens left as the pair shares in all; so a pair is named only where enough are left to both, and a set
+    stays in a long list only if it has enough left for any partner there. What is named is then counted in full.
+    """
+    lists = open_.groupBy("token").agg(F.count("*").alias("size"), F.min("l").alias("least"))
+    own = Window.partitionBy("rep")
+    placed = open_.join(lists, "token").withColumn("p", F.row_number().over(own.orderBy("size", "token")))
+    placed = placed.withColumn("left", F.count("*").over(own) - F.col("p") + 1).withColumn("short", F.count_if(~F.col("long")).over(own) - F.col("p") + 1)
+    kept = staged(placed.filter(~F.col("long") | (F.col("left") >= F.least("l", "least"))).drop("size", "least", "p"), "jaccard-open")
+    x, y = kept.alias("x"), kept.alias("y")
+    # A pair that long lists and the unlisted rest can't link shares rare shingles: it is found in short lists. The set
+    # whose prefix ends first has all its shared prefix tokens in the other's prefix, too.
+    rest = F.when(F.col("x.reach") < F.col("y.reach"), F.col("x.s")).when(F.col("x.reach") > F.col("y.reach"), F.col("y.s")).otherwise(F.greatest("x.s", "y.s"))
+    by_long = _overlap("x.n", "y.n", percent) <= rest
+    need = F.when(by_long, _needed("x.n", "x.l", "y.n", "y.l", percent)).otherwise(F.greatest(F.lit(1), _overlap("x.n", "y.n", percent) - rest))
+    pair = (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & _comparable("x.n", "y.n", percent)
+    enough = F.when(by_long, F.least("x.left", "y.left")).otherwise(F.least("x.short", "y.short")) >= need
+    named = x.join(y, pair & (~F.col("x.long") | by_long) & enough).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), need.alias("need"), by_long.alias("by_long")).distinct()
+    # A set's tokens are no more than its prefix.
+    tokens = open_.groupBy("rep").agg(F.collect_list("token").alias("all"), F.collect_list(F.when(~F.col("long"), F.col("token"))).alias("rare"))
+    both = named.join(tokens.select(F.col("rep").alias("a"), F.struct("all", "rare").alias("ta")), "a").join(tokens.select(F.col("rep").alias("b"), F.struct("all", "rare").alias("tb")), "b")
+    shared = F.when(F.col("by_long"), F.size(F.array_intersect("ta.all", "tb.all"))).otherwise(F.size(F.array_intersect("ta.rare", "tb.rare")))
+    return both.filter(shared >= F.col("need")).select("a", "b")
+
+
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row (docs: doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -243,17 +271,7 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = lists.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", "l", "reach", "s", "long", F.coalesce("component", "rep").alias("c"))
     parted = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("token")
     open_ = staged(named.join(parted, "token", "left_semi"), "jaccard-open")
-    # A pair that long lists and the unlisted rest can't link shares rare shingles: it is found in short lists.
-    x, y = open_.alias("x"), open_.alias("y")
-    # The set whose prefix ends first has all its shared prefix tokens in the other's prefix, too.
-    rest = F.when(F.col("x.reach") < F.col("y.reach"), F.col("x.s")).when(F.col("x.reach") > F.col("y.reach"), F.col("y.s")).otherwise(F.greatest("x.s", "y.s"))
-    by_long = _overlap("x.n", "y.n", percent) <= rest
-    pair = (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & _comparable("x.n", "y.n", percent)
-    wide = x.join(y, pair & (~F.col("x.long") | by_long)).select(
-        F.col("x.rep").alias("a"), F.col("y.rep").alias("b"),
-        F.when(by_long, _needed("x.n", "x.l", "y.n", "y.l", percent)).otherwise(F.greatest(F.lit(1), _overlap("x.n", "y.n", percent) - rest)).alias("need"),
-    )
-    second = wide.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need")).filter("c >= need")
+    second = _candidates(open_, percent)
     more = _verified(docs, second.join(found.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti"), percent)
     # Rows of one doc_id with different texts tie their sets together.
     twice = reps.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v"), F.count_distinct("rep").alias("k")).filter("k > 1").select("doc_id", "u")
