@@ -2,11 +2,17 @@
 
 The markup is cut into blocks at block-level tags; scripts, styles and other unseen parts are dropped. First pass: each
 block is judged by itself on the regions it stands in (menus, notices, forms, ...), its share of linked characters, its
-length and its share of stop words: good, bad, near-good or short. Second pass: near-good and short blocks take over the
+length and its share of stop words: good, bad, near-good or short. Where no block of a page speaks a language served,
+stop words say nothing, and length and links decide. Second pass: near-good and short blocks take over the
 label of their nearest decided neighbours; where the two sides differ, a near-good block is kept and a short one is
 kept only if the near-good blocks on its way to a good one outnumber none. Headings and short blocks inside an article
 element belong to it.
 
+Regions: some elements name one (nav, aside, footer, ...), and so do words of class, id and role values, unless the same
+name takes them back (``has-sidebar``, ``no-comments``, ``ad-free``); an article or main element is named by a whole value only.
+What a value or a form names is no region if it holds more than half of the page's unlinked text, for then it wraps the
+page; comments and hidden parts stay out whatever they hold.
+
 Defined results: a null or empty page, or one without a good block, has the empty text; unclosed and misnested tags end
 with the element around them; copies of a page have the same text; extra columns pass by untouched.
 """
@@ -46,13 +52,21 @@ _BLOCK = frozenset(
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_BAD_TAGS = frozenset("nav aside footer form menu dialog fieldset".split())
+_BAD_TAGS = frozenset("nav aside footer menu dialog".split())
+#: Bad unless they hold most of the page.
+_WRAPPING_TAGS = frozenset("form fieldset".split())
 _MAIN_TAGS = frozenset("article main".split())
 # Words of class, id and role values that name a region outside the main text.
 _BAD_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus footer gdpr masthead menu nav navbar navigation newsletter notice "
     "paywall popup promo promoted promotion related reply replies respond search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+# Of these, the ones that stay out whatever they hold.
+_READERS_WORDS = frozenset("comment comments disqus reply replies respond".split())
+# Words that take back what the rest of a name says.
+_TAKING_BACK = frozenset("has no not non with without free enabled disabled hide hides is".split())
+#: A wrapper's share of the page's unlinked characters.
+MOST = 0.5
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 # A cheap first look; _hidden decides.
@@ -63,12 +77,22 @@ _WORD = re.compile(r"\w+")
 _SPACE = re.compile(r"\s+")
 
 
+@dataclass
+class Region:
+    """A part of the page outside the main text; a wrapping one only if it does not hold most of the page."""
+
+    wrapping: bool
+    size: int = 0  # unlinked characters
+
+
 @dataclass
 class Block:
     text: str
     linked: int  # characters in links
     heading: bool
-    region: str  # "bad", "main" or ""
+    main: bool
+    regions: tuple[Region, ...] = ()
+    bad: bool = False
     label: str = field(default="")
 
 
@@ -77,27 +101,33 @@ class _Open:
     """An open element, with what it inherits from those around it."""
 
     name: str
-    region: str = ""
+    main: bool = False
+    regions: tuple[Region, ...] = ()
     heading: bool = False
     link: bool = False
     unseen: bool = False
 
     def inside(self, name: str, attributes: str) -> _Open:
-        return _Open(
-            name, _region(name, attributes, self.region), self.heading or name in _HEADINGS, self.link or name == "a", self.unseen or name in _UNSEEN
-        )
-
-
-def _region(name: str, attributes: str, outer: str) -> str:
-    if outer == "bad":
-        return "bad"
-    if name in _BAD_TAGS or (name == "header" and outer != "main"):
-        return "bad"
-    if attributes:
-        words = {w for m in _NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-        if name not in ("html", "body") and (words & _BAD_WORDS or (_HIDDEN.search(attributes) and _hidden(attributes))):
-            return "bad"
-    return "main" if name in _MAIN_TAGS else outer
+        kind = _named(name, attributes, self.main)
+        regions = self.regions if kind is None else (*self.regions, Region(kind))
+        return _Open(name, self.main or name in _MAIN_TAGS, regions, self.heading or name in _HEADINGS, self.link or name == "a", self.unseen or name in _UNSEEN)
+
+
+def _named(name: str, attributes: str, in_main: bool) -> bool | None:
+    """Whether the region that an element opens is a wrapping one; None if it opens none."""
+    if name in ("html", "body"):
+        return None
+    if name in _BAD_TAGS or (name == "header" and not in_main) or (attributes and _HIDDEN.search(attributes) and _hidden(attributes)):
+        return False
+    kind = True if name in _WRAPPING_TAGS else None
+    for value in (v for m in _NAMES.finditer(attributes) for v in (m[1] or m[2] or m[3] or "").lower().split()) if attributes else ():
+        words = set(re.split(r"[^a-z]+", value)) - {""}
+        if words & _TAKING_BACK or not words & _BAD_WORDS or (name in _MAIN_TAGS and len(words) > 1 and not words & _READERS_WORDS):
+            continue
+        if words & _READERS_WORDS:
+            return False
+        kind = True
+    return kind
 
 
 def _hidden(attributes: str) -> bool:
@@ -122,7 +152,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         if text:
-            out.append(Block(text, linked, stack[-1].heading, stack[-1].region))
+            top = stack[-1]
+            out.append(Block(text, linked, top.heading, top.main, top.regions))
         parts.clear()
         linked = 0
 
@@ -172,31 +203,43 @@ def blocks(page: str) -> list[Block]:
                 stack.append(stack[-1].inside(name, m[3]))
                 opened[name] += 1
     close_block()
+    for b in out:
+        for region in b.regions:
+            region.size += max(0, len(b.text) - b.linked)
+    whole = sum(max(0, len(b.text) - b.linked) for b in out)
+    for b in out:
+        b.bad = any(not (r.wrapping and r.size > MOST * whole) for r in b.regions)
     return out
 
 
-def first_label(b: Block) -> str:
-    """good, bad, near or short, from the block alone."""
-    if b.region == "bad":
+def first_label(b: Block, spoken: bool = True) -> str:
+    """good, bad, near or short, from the block alone; spoken: stop words of the page's language are known."""
+    if b.bad:
         return "bad"
     size = len(b.text)
     if b.linked > LINKED * size:
         return "bad"
-    if b.region == "main":
+    if b.main:
         # Inside the article only links and regions speak against a block.
         return "good"
     if size < SHORT:
         return "short"
-    words = _WORD.findall(b.text.lower())
-    stops = sum(w in _STOPS for w in words) / max(1, len(words))
+    stops = _stop_share(b.text) if spoken else 1.0
     if stops >= STOP_HIGH:
         return "good" if size > LONG else "near"
     return "near" if stops >= STOP_LOW else "bad"
 
 
+def _stop_share(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in _STOPS for w in words) / max(1, len(words))
+
+
 def classify(found: list[Block]) -> list[Block]:
     """Both passes; every block ends as good or bad."""
-    first = [first_label(b) for b in found]
+    judged = [b for b in found if not b.bad and not b.main and len(b.text) >= SHORT and b.linked <= LINKED * len(b.text)]
+    spoken = any(b.main and not b.bad for b in found) or any(_stop_share(b.text) >= STOP_LOW for b in judged)
+    first = [first_label(b, spoken) for b in found]
     n = len(found)
 
     def nearest(i: int, step: int, decided: tuple[str, ...]) -> str:
