@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import statistics
+
 from pyspark.sql import functions as F
 
 from limnos.constants import ALL_IONS, meq, mgl
@@ -430,17 +432,70 @@ def srt_06(spark, sf):
     return shown(fills.groupBy("target").agg(F.count("*").alias("n"), F.avg("value").alias("mean")))
 
 
-@query("imp_05_principal_components")
+_P = len(multivariate.FEATURES)
+_PRODUCT = "list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b)))"
+
+
+def _axis_sql(name: str, matrix: str) -> list[str]:
+    """Check SQL of the largest eigenvalue and its vector: a matrix squared again and again, scaled by its trace, leaves that vector in every row."""
+    trace = " + ".join(f"m[{i}][{i}]" for i in range(1, _P + 1))
+    return [
+        f"{name}_p(i, m) AS (SELECT 0, m FROM {matrix} UNION ALL SELECT i + 1, list_transform(q, lambda a: list_transform(a, lambda x: x / t)) "
+        f"FROM (SELECT i, {_PRODUCT} AS q, list_sum(list_transform(m, lambda a: list_dot_product(a, a))) AS t FROM {name}_p WHERE i < 24))",
+        f"{name}_r AS (SELECT list_extract(m, list_position(list_transform(m, lambda a: list_dot_product(a, a)), list_max(list_transform(m, lambda a: list_dot_product(a, a))))) AS v FROM {name}_p WHERE i = 24)",
+        f"{name}_u AS (SELECT list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)) * sign(list_extract(v, list_position(list_transform(v, lambda y: abs(y)), list_max(list_transform(v, lambda y: abs(y))))))) AS v FROM {name}_r)",
+        f"{name} AS (SELECT v, list_dot_product(v, list_transform(m, lambda a: list_dot_product(a, v))) AS spread FROM {name}_u, {matrix})",
+    ]
+
+
+_X = [f"coalesce({c}::DOUBLE, (SELECT median({c}) FROM fac), 0)" for c in multivariate.FEATURES]
+_COMPONENTS = [
+    f"full_ AS MATERIALIZED (SELECT sample_seq, facies_label, {', '.join(f'{x} AS x{i}' for i, x in enumerate(_X, 1))} FROM fac)",
+    "scale_ AS MATERIALIZED (SELECT " + ", ".join(f"avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}" for i in range(1, _P + 1)) + " FROM full_)",
+    "z AS MATERIALIZED (SELECT sample_seq, facies_label, " + f"x{multivariate.FEATURES.index('tds_mgl') + 1} AS tds, [" + ", ".join(f"(x{i} - m{i}) / s{i}" for i in range(1, _P + 1)) + "] AS z FROM full_, scale_)",
+    "corr_ AS MATERIALIZED (SELECT [" + ", ".join("[" + ", ".join(f"covar_pop(x{i}, x{j}) / (any_value(s{i}) * any_value(s{j}))" if i != j else "1.0::DOUBLE" for j in range(1, _P + 1)) + "]" for i in range(1, _P + 1)) + "] AS m FROM full_, scale_)",
+    *_axis_sql("a1", "corr_"),
+    "rest_ AS (SELECT list_transform(m, lambda a, i: list_transform(a, lambda x, j: x - spread * list_extract(v, i) * list_extract(v, j))) AS m FROM corr_, a1)",
+    *_axis_sql("a2", "rest_"),
+    "scored AS MATERIALIZED (SELECT z.sample_seq, z.facies_label, z.tds, z.z, list_dot_product(z.z, a1.v) AS pc1, list_dot_product(z.z, a2.v) AS pc2 FROM z, a1, a2)",
+]
+
+
+def _recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("imp_05_principal_components", _recursive(sql(f"SELECT sample_seq, {rs('pc1', 'pc2')} FROM scored", "fac", more=_COMPONENTS)))
 def imp_05(spark, sf):
-    return shown(multivariate.analyse_variables(S.fac(spark, sf)).samples, SEQ, "pc1", "pc2")
+    return shown(multivariate.component_scores(S.fac(spark, sf)).samples, SEQ, "pc1", "pc2")
+
+
+_MIDDLES = [statistics.NormalDist().inv_cdf((j + 0.5) / 3) for j in range(3)]
+_NEAR = "CASE WHEN d[1] <= d[2] AND d[1] <= d[3] THEN 1 WHEN d[2] <= d[3] THEN 2 ELSE 3 END"
+_CENTRES = "[" + ", ".join("[" + ", ".join(f"coalesce(avg(z[{v}]) FILTER (near = {c}), any_value(old[{c}][{v}]))" for v in range(1, _P + 1)) + "]" for c in (1, 2, 3)) + "]"
+_DISTANCES = "[list_sum(list_transform(list_zip(z, c[1]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), list_sum(list_transform(list_zip(z, c[2]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), list_sum(list_transform(list_zip(z, c[3]), lambda p: (p[1] - p[2]) * (p[1] - p[2])))]"
+_CLUSTERS = [
+    *_COMPONENTS,
+    "lines_ AS (SELECT 1 AS start, list_transform(v, lambda x: x * sqrt(spread)) AS line FROM a1 UNION ALL SELECT 2, list_transform(v, lambda x: x * sqrt(spread)) FROM a2 "
+    f"UNION ALL SELECT 2 + i, list_transform(range(1, {_P + 1}), lambda j: CASE WHEN j = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM range(1, {_P + 1}) t(i))",
+    "steps_(i, start, c, moving) AS (SELECT 0, start, [" + ", ".join(f"list_transform(line, lambda x: x * ({m!r}))" for m in _MIDDLES) + "], true FROM lines_ UNION ALL "
+    f"SELECT i + 1, start, new, list_sum(list_transform(list_zip(flatten(new), flatten(old)), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) > {multivariate.SETTLED} FROM ("
+    f"SELECT any_value(i) AS i, start, any_value(old) AS old, {_CENTRES} AS new FROM (SELECT i, start, old, z, {_NEAR} AS near FROM (SELECT s.i, s.start, s.c AS old, z.z, {_DISTANCES} AS d FROM steps_ s, z WHERE s.moving AND s.i < {multivariate.STEPS})) GROUP BY start))",
+    "ends_ AS MATERIALIZED (SELECT start, arg_max(c, i) AS c FROM steps_ GROUP BY start)",
+    f"costs_ AS (SELECT start, any_value(c) AS c, sum(list_min(d)) AS cost FROM (SELECT e.start, e.c, {_DISTANCES} AS d FROM ends_ e, z) GROUP BY start)",
+    "won_ AS (SELECT list_transform(list_sort(list_transform(w.c, lambda x: struct_pack(k := list_dot_product(x, a1.v), x := x))), lambda p: p.x) AS c FROM (SELECT arg_min(c, cost) AS c FROM costs_) w, a1)",
+    f"clustered AS MATERIALIZED (SELECT sample_seq, facies_label, tds, {_NEAR} AS cluster FROM (SELECT sample_seq, facies_label, tds, {_DISTANCES} AS d FROM z, won_))",
+]
 
 
-@query("imp_06_clusters")
+@query("imp_06_clusters", _recursive(sql("SELECT sample_seq, cluster::BIGINT AS cluster FROM clustered", "fac", more=_CLUSTERS)))
 def imp_06(spark, sf):
     return shown(multivariate.analyse_variables(S.fac(spark, sf)).samples, SEQ, "cluster")
 
 
-@query("agg_16_cluster_summary")
+@query("agg_16_cluster_summary", _recursive(sql(
+    f"SELECT cluster::BIGINT AS cluster, sum(n)::BIGINT AS n, coalesce(arg_min(facies_label, ROW(-n, facies_label)) FILTER (facies_label IS NOT NULL), 'Mixta') AS dominant_facies, {r('sum(tds) / sum(n)', 'mean_tds')} "
+    "FROM (SELECT cluster, facies_label, count(*) AS n, sum(tds) AS tds FROM clustered GROUP BY ALL) GROUP BY cluster", "fac", more=_CLUSTERS)))
 def agg_16(spark, sf):
     return shown(multivariate.analyse_variables(S.fac(spark, sf)).clusters)
 
