@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import statistics
 
 from pyspark.sql import functions as F
 
-from limnos.constants import ALL_IONS, meq, mgl
+from limnos.constants import ALL_IONS, equivalent_weights, meq, mgl
 from limnos.functions import cells
 from limnos.operators import multivariate, neighbours
 from limnos.operators.balance import add_charge_balance
@@ -281,26 +282,60 @@ def snk_02(spark, sf):
         F.col(SEQ).cast("bigint").alias(SEQ), "station_code", F.col("Ca_mgL").cast("double").alias("Ca_mgL"), F.col("CBE_pct").cast("double").alias("CBE_pct")))
 
 
-@query("snk_03_result_bundle", sql(
-    "SELECT 'results' AS part, count(*) AS n FROM fac UNION ALL SELECT 'facies', count(DISTINCT facies) FROM fac", "fac"))
+_LIMITS = [("F_mgL", None, 1.5), ("NO3_mgL", None, 50), ("Cl_mgL", None, 250), ("SO4_mgL", None, 250), ("Na_mgL", None, 200), ("tds_mgl", None, 1000), ("ph", 6.5, 8.5)]
+
+
+@query("snk_03_result_bundle", sql(union([
+    f"SELECT 'results' AS part, CAST(sample_seq AS VARCHAR) AS item, {r('CBE_pct', 'value')} FROM fac", "SELECT 'facies', facies, count(*) FROM fac GROUP BY facies",
+    *[f"SELECT 'limits', '{p}', count(*) FILTER (WHERE {' OR '.join(x for x in (f'{p} > {hi}', f'{p} < {lo}' if lo else '') if x)}) FROM measured" for p, lo, hi in _LIMITS],
+    "SELECT 'issues', 'filas_leidas', count(*) FROM measured",
+    *[f"SELECT 'weights', '{i}', {w!r}" for i, w in equivalent_weights().items()]]), "fac"))
 def snk_03(spark, sf):
+    """All five tables written as one bundle and read back by its manifest."""
+    from limnos.operators import standards, validation
     from limnos.operators.facies import facies_counts
 
     df, path = S.fac(spark, sf), scratch_path(spark, "bundle")
-    writers.write_bundle({"results": writers.tidy(df), "facies": facies_counts(df)}, path)
-    parts = [spark.read.parquet(f"{path}/{p}").agg(F.count("*").alias("n")).select(F.lit(p).alias("part"), "n") for p in ("results", "facies")]
-    return shown(parts[0].unionByName(parts[1]))
+    weights = spark.createDataFrame([(i, float(w)) for i, w in equivalent_weights().items()], "ion string, weight double")
+    writers.write_bundle({"results": writers.tidy(df), "facies": facies_counts(df), "limits": standards.compliance(df), "issues": validation.rows_read(df), "weights": weights}, path)
+    back = writers.read_bundle(spark, path)
+    shape = {"results": (SEQ, "CBE_pct"), "facies": ("facies", "n"), "limits": ("parameter", "n_exceeding"), "issues": ("code", "n_rows"), "weights": ("ion", "weight")}
+    parts = [back[t].select(F.lit(t).alias("part"), F.col(item).cast("string").alias("item"), F.col(value).cast("double").alias("value")) for t, (item, value) in shape.items()]
+    return shown(functools.reduce(lambda x, y: x.unionByName(y), parts))
 
 
 @query("snk_04_geojson", sql(
-    f"SELECT sample_seq, 'Feature' AS type, station_code AS estacion, facies AS facies_codigo, {r('Ca_mgL')}, {r('lon_wgs84', 'lon')}, F_mgL IS NOT NULL AS has_f FROM placed", "placed"))
+    f"SELECT 'Feature' AS type, station_code AS estacion, facies AS facies_codigo, {r('Ca_mgL')}, {r('lon_wgs84', 'lon')}, {r('lat_wgs84', 'lat')}, F_mgL IS NOT NULL AS has_f, "
+    "(SELECT count(*) FROM placed WHERE sample_seq % 7 = 0) AS n_skipped FROM placed WHERE sample_seq % 7 <> 0", "placed"))
 def snk_04(spark, sf):
-    f = writers.geojson_features(S.placed(spark, sf))
+    """Written, one feature a line, and read back; a seventh of the samples has lost its position."""
+    path = scratch_path(spark, "features")
+    lost = F.when(F.col(SEQ) % 7 != 0, F.col("lon_wgs84"))
+    skipped = writers.write_geojson(S.placed(spark, sf).withColumn("lon_wgs84", lost), path)
     shape = "type string, geometry struct<coordinates: array<double>>, properties struct<estacion: string, facies_codigo: string, Ca_mgL: double, F_mgL: double>"
-    f = f.select(SEQ, F.from_json("feature", shape).alias("f"))
+    f = spark.read.schema(shape).json(path)
+    at = F.col("geometry.coordinates")
     return shown(f.select(
-        SEQ, "f.type", "f.properties.estacion", "f.properties.facies_codigo", "f.properties.Ca_mgL",
-        F.get("f.geometry.coordinates", F.lit(0)).alias("lon"), F.col("f.properties.F_mgL").isNotNull().alias("has_f")))
+        "type", "properties.estacion", "properties.facies_codigo", "properties.Ca_mgL", F.get(at, F.lit(0)).alias("lon"), F.get(at, F.lit(1)).alias("lat"),
+        F.col("properties.F_mgL").isNotNull().alias("has_f"), F.lit(skipped).cast("long").alias("n_skipped")))
+
+
+@query("snk_05_kml_document", sql(
+    "SELECT '<Placemark><name>' || station_code || '</name><styleUrl>#' || facies || '</styleUrl>' AS line, count(*) AS n FROM placed GROUP BY 1 "
+    "UNION ALL SELECT '<Folder><name>' || \"group\" || ' (' || count(*) || ')</name>', 1 FROM placed GROUP BY \"group\" UNION ALL SELECT '</Folder>', count(DISTINCT \"group\") FROM placed "
+    "UNION ALL VALUES ('</Document></kml>', 1), ('<?xml version=\"1.0\" encoding=\"UTF-8\"?>', 1), ('<kml xmlns=\"http://www.opengis.net/kml/2.2\"><Document><name>samples</name>', 1)", "placed"))
+def snk_05_document(spark, sf):
+    """The document written and read back, by lines (less their points)."""
+    path = scratch_path(spark, "kml")
+    writers.write_kml(S.placed(spark, sf), path)
+    line = F.regexp_replace("value", "<Point>.*", "")
+    return shown(spark.read.text(path).groupBy(line.alias("line")).agg(F.count("*").alias("n")))
+
+
+@query("scl_11_safe_names", sql("SELECT regexp_replace(station_code || ' ' || \"group\" || ' ñ/1', '[^A-Za-z0-9._-]', '_', 'g') AS name, count(*) AS n FROM samples GROUP BY 1", "samples"))
+def scl_11(spark, sf):
+    name = writers.safe_name(F.concat_ws(" ", "station_code", "group", F.lit("ñ/1")))
+    return shown(S.raw(spark, sf).groupBy(name.alias("name")).agg(F.count("*").alias("n")))
 
 
 @query("snk_05_kml_folders", sql("SELECT \"group\", count(*) AS n, \"group\" || ' (' || count(*) || ')' AS folder FROM placed GROUP BY 1", "placed"))
@@ -344,15 +379,20 @@ def snk_07(spark, sf):
         SEQ, "station", "facies", F.size("ions").alias("n_ions"), F.size("exceeded").alias("n_exceeded"), F.col("measures.pH").alias("pH")))
 
 
+_TEXT = lambda e: f"CAST(CAST({e} AS DOUBLE) AS VARCHAR)"
+
+
 @query("snk_08_speciation_input", sql(
-    "SELECT sample_seq, 'SOLUTION ' || sample_seq || ' ' || station_code AS first_line, "
-    + " + ".join(f"CAST({mgl(i)} IS NOT NULL AS BIGINT)" for i in ("Ca", "Mg", "Na", "K", "Cl", "SO4", "HCO3", "F", "NO3"))
-    + " + 4 AS n_lines, ph IS NULL OR ph = 7.0 AS ph_is_seven FROM measured", "measured"))
+    "SELECT concat_ws(chr(10), 'SOLUTION ' || sample_seq || ' ' || station_code, "
+    f"'    temp ' || CASE WHEN temp_c <> 0 THEN {_TEXT('temp_c')} ELSE '25.0' END, '    pH ' || CASE WHEN ph <> 0 THEN {_TEXT('ph')} ELSE '7.0' END, '    units mg/l', "
+    + ", ".join(f"'    {name} ' || {_TEXT(mgl(i))} || '{unit}'" for i, name, unit in writers._SPECIATION) + ") AS text FROM measured "
+    "UNION ALL VALUES ('END'), ('TITLE Batch simulation' || chr(10) || 'SELECTED_OUTPUT' || chr(10) || '    -reset false' || chr(10) || '    -solution true' || chr(10) || '    -pH true' || chr(10) || '    -temperature true' "
+    "|| chr(10) || '    -alkalinity true' || chr(10) || '    -ionic_strength true' || chr(10) || '    -totals Ca Mg Na K Cl S(6) F C(4)' || chr(10) || '    -si Calcite Gypsum Fluorite Halite')", "measured"))
 def snk_08(spark, sf):
-    b = writers.speciation_blocks(S.measured(spark, sf)).withColumn("lines", F.split("block", "\n"))
-    return shown(b.select(
-        SEQ, F.get("lines", F.lit(0)).alias("first_line"), F.size("lines").alias("n_lines"),
-        (F.get("lines", F.lit(2)) == "    pH 7.0").alias("ph_is_seven")))
+    """The document written and read back, by blocks."""
+    path = scratch_path(spark, "speciation")
+    writers.write_speciation(S.measured(spark, sf), path)
+    return shown(spark.read.option("lineSep", "\n\n").text(path).select(F.col("value").alias("text")))
 
 
 @query("snk_09_saved_run", sql("SELECT CBE_flag, count(*) AS n FROM chem GROUP BY 1", "chem"))
