@@ -30,3 +30,22 @@ def test_stages(spark, sf):
         if name == "decontamination":
             assert not leaked & {r["doc_id"] for r in docs.collect()}
     assert sizes[0] >= sizes[1] > sizes[2] > sizes[3] > 0 and sizes[4] == sizes[5]
+
+
+def test_stages_on_odd_rows(spark, sf):
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    some = [r for r in given.limit(60).collect()]
+    odd = [(None, some[0]["text"]), (10**9, None), (10**9 + 1, ""), (10**9 + 2, " \t\n"), (10**9 + 3, "word " * 60_000), (10**9 + 4, "é漢🙂"), (some[1]["doc_id"], some[1]["text"]), (some[1]["doc_id"], some[1]["text"])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, `group` long, shard int, toxic int, rep long"
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], "k", 1, 2, 3, 4) for r in some] + [(d, t, None, None, None, None, None, None, None, None) for d, t in odd]
+    for docs in (spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame([], schema)):
+        empty = docs.isEmpty()
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, stage(spark, docs, sf)
+            if name != "sharding":
+                assert docs.columns == before.columns, name
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+            ids = [r["doc_id"] for r in docs.collect()]
+            assert bool(ids) != empty, name
+            if name == "near_duplicates" and not empty:
+                assert ids.count(some[1]["doc_id"]) <= 1 and {10**9, 10**9 + 1, 10**9 + 2} <= set(ids)
