@@ -1,4 +1,10 @@
-"""The corpus pipeline: filter, deduplicate, decontaminate, mix and shard the documents."""
+"""The corpus pipeline: filter, deduplicate, decontaminate, mix and shard the documents.
+
+Defined results of all stages: a null or empty text is not toxic, no near duplicate and not contaminated, and the mix takes it
+never, as it has no words; rows without a doc_id stay rows of their own until the mix; of repeated rows of one doc_id one
+stays; texts of any length are read whole; extra columns, whatever their names, go along until the last stage; an
+empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
