@@ -20,6 +20,7 @@ from limnos.session import scratch_path
 from limnos.sinks import cards, writers
 from limnos.sources import headers, mapping, synthetic
 from limnos.sources.delimited import read_lab_files, read_lines
+from limnos.sources.workbook import book_cells, canonical_cells, workbooks
 
 SEQ = "sample_seq"
 IONS = [mgl(i) for i in ALL_IONS]
@@ -108,6 +109,20 @@ def src_01_records(spark, sf):
     return shown(lab_records(spark, sf), "file", "row", "text")
 
 
+_BOOK = {"station_code": "Estación", "group": "Grupo", "sampled_at": "Fecha", "Ca_mgL": "Calcio (mg/L)", "Cl_mgL": "Cl⁻", "F_mgL": "Fluoruros"}
+
+
+@query("src_02_workbooks", sql(
+    "SELECT station_code, \"group\", strftime(sampled_at, '%Y-%m-%d') || ' 00:00:00' AS sampled_at, CAST(CAST(Ca_mgL AS DOUBLE) AS VARCHAR) AS Ca_mgL, "
+    "round(Cl_mgL, 6) AS Cl_mgL, nullif(F_mgL, '') AS F_mgL, count(*) AS n FROM samples GROUP BY ALL", "samples"))
+def src_02(spark, sf):
+    """Workbooks made of the samples, read cell by cell; the sheet of data is found among others."""
+    df = S.raw(spark, sf).withColumns({c: F.col(c).cast("double") for c in ("Ca_mgL", "Cl_mgL")} | {"sampled_at": F.col("sampled_at").cast("date")})
+    rows = canonical_cells(book_cells(workbooks(df, _BOOK)))
+    rows = rows.select("station_code", "group", "sampled_at", "Ca_mgL", F.round(F.col("Cl_mgL").cast("double"), 6).alias("Cl_mgL"), "F_mgL")
+    return shown(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")))
+
+
 @query("src_03_best_sheet", sql(
     "SELECT file AS book, 'data' AS sheet, CAST(7 AS BIGINT) AS score FROM (" + _FILES + ")", "samples"))
 def src_03(spark, sf):

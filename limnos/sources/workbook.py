@@ -12,6 +12,7 @@ import re
 import zipfile
 from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
+from xml.sax import saxutils
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -99,9 +100,14 @@ def _cells(batches):
                 yield pd.DataFrame(rows, columns=names)
 
 
+def book_cells(books: DataFrame) -> DataFrame:
+    """Every non-empty cell of workbooks (``path, content``): ``file, sheet, sheet_pos, row, col, text``."""
+    return books.select("path", "content").mapInPandas(_cells, CELLS)
+
+
 def read_cells(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Every non-empty cell: ``file, sheet, sheet_pos, row, col, text``."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", name_pattern(SUFFIXES)).load(paths).select("path", "content").mapInPandas(_cells, CELLS)
+    """Every non-empty cell of the workbooks in folders."""
+    return book_cells(spark.read.format("binaryFile").option("pathGlobFilter", name_pattern(SUFFIXES)).load(paths))
 
 
 def sheet_lines(cells: DataFrame) -> DataFrame:
@@ -127,8 +133,69 @@ def best_sheets(lines: DataFrame) -> DataFrame:
     return sheets.withColumn("k", F.row_number().over(first)).filter("k = 1").select("book", "sheet", "file", "score")
 
 
-def read_workbooks(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Canonical text table from the best sheet of every workbook."""
-    lines = sheet_lines(read_cells(spark, paths))
+def canonical_cells(cells: DataFrame) -> DataFrame:
+    """Canonical text table from the best sheet of every workbook's cells."""
+    lines = sheet_lines(cells)
     chosen = best_sheets(lines).select("file")
     return to_canonical(lines.join(chosen, "file", "left_semi").select("file", "row", "in_head", "text"))
+
+
+def read_workbooks(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Canonical text table from the best sheet of every workbook."""
+    return canonical_cells(read_cells(spark, paths))
+
+
+# Parts that every written workbook has.
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_RELATIONS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_STYLES = f'<styleSheet xmlns="{_MAIN}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>'
+
+
+def _sheet(rows: Sequence[Sequence[object]], shared: dict[str, int]) -> str:
+    """A sheet of rows of texts (shared), numbers, days and gaps."""
+    out = []
+    for r, row in enumerate(rows, 1):
+        cells = []
+        for c, value in enumerate(row):
+            ref = f"{chr(65 + c)}{r}"
+            if isinstance(value, str):
+                cells.append(f'<c r="{ref}" t="s"><v>{shared.setdefault(value, len(shared))}</v></c>')
+            elif isinstance(value, datetime.date):
+                cells.append(f'<c r="{ref}" s="1"><v>{(datetime.datetime.combine(value, datetime.time()) - _EPOCH).days}</v></c>')
+            elif value is not None and not pd.isna(value):
+                cells.append(f'<c r="{ref}"><v>{value!r}</v></c>')
+        out.append(f'<row r="{r}">{"".join(cells)}</row>')
+    return f'<worksheet xmlns="{_MAIN}"><sheetData>{"".join(out)}</sheetData></worksheet>'
+
+
+def workbook_bytes(sheets: dict[str, Sequence[Sequence[object]]]) -> bytes:
+    """A workbook of named sheets of at most 26 columns."""
+    shared: dict[str, int] = {}
+    parts = [_sheet(rows, shared) for rows in sheets.values()]
+    names = "".join(f'<sheet name="{saxutils.escape(n)}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1))
+    links = "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(1, len(parts) + 1))
+    texts = "".join(f'<si><t xml:space="preserve">{saxutils.escape(t)}</t></si>' for t in shared)
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="{_RELATIONS}"><sheets>{names}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f"<Relationships>{links}</Relationships>")
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{_MAIN}">{texts}</sst>')
+        z.writestr("xl/styles.xml", _STYLES)
+        for i, part in enumerate(parts, 1):
+            z.writestr(f"xl/worksheets/s{i}.xml", part)
+    return held.getvalue()
+
+
+def workbooks(samples: DataFrame, columns: dict[str, str], key: str = "sample_seq", rows: int = 2000) -> DataFrame:
+    """``path, content`` of workbooks of about ``rows`` samples each: a sheet of notes, then the data under a title line (columns: source column, header)."""
+    n = samples.count()
+    heads = list(columns.values())
+
+    def build(number: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        body = part.sort_values(key)[list(columns)].astype(object).to_numpy().tolist()
+        notes = [["about this book"], ["made for", float(len(body)), "samples"]]
+        content = workbook_bytes({"notes": notes, "data": [["Campaign sheet"], [], heads, *body]})
+        return pd.DataFrame({"path": [f"book-{number[0]}.xlsx"], "content": [content]})
+
+    book = F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // rows))))
+    return samples.select(key, *columns, book.alias("book")).groupBy("book").applyInPandas(build, "path string, content binary")
