@@ -41,6 +41,8 @@ LEAST_PART = 12
 TRIES = 64
 #: Lists of more sets than this are long: pairs are looked for in them only where the rest can't make up a link.
 LONG_LIST = 32
+#: Sets that a task holds at once.
+HELD = 1000
 #: Cost of a posting met and, per shingle of the document, of a candidate, against one posting sent.
 MET, VERIFIED = 0.2, 0.05
 
@@ -89,7 +91,9 @@ def _batch(**columns) -> pa.RecordBatch:
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
-        yield batch, [shingles(raw) for raw in byte_views(batch.column("text"))]
+        for i in range(0, batch.num_rows, HELD):
+            part = batch.slice(i, HELD)
+            yield part, [shingles(raw) for raw in byte_views(part.column("text"))]
 
 
 def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
