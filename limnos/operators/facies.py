@@ -1,4 +1,4 @@
-"""Hydrochemical facies: dominant-ion names and zones of the Piper diamond."""
+"""Facies of water: dominant-ion names and zones of the Piper diamond."""
 
 from __future__ import annotations
 
