@@ -29,7 +29,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, start and end (words; null end: the whole text) of what repeats earlier text."""
     unit = repeats.Unit(True, window, min(SEED, window))
     copies = repeats.profiles(docs, unit)
-    found = repeats.extended(docs, repeats.later_ones(repeats.occurrences(docs, unit, copies)), unit, both=False, least=MEETINGS)
+    found = repeats.extended(docs, repeats.later_ones(repeats.occurrences(docs, unit, copies)), unit, least=MEETINGS)
     open_ = found.filter("w is not null")
     first = open_.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("w", "first")
     later = open_.join(first, "w").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
