@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnos.llm.registry import query, table
+from limnos.session import bound_batches
 
 K1, B = 1.2, 0.75
 #: Share of an item's score against itself from which it is retrieved.
@@ -331,10 +332,12 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, score, start, question_overlap and answer_overlap of every leak (items: item_id, text)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     items = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     about = items.agg(F.count("*").alias("n"), F.avg(F.size(F.split("text", r"\W+"))).alias("average")).first()
     schema = "doc_id long, item_id long, score double, start long, question_overlap double, answer_overlap double"
-    out = spark.createDataFrame([], schema)
+    # No rows yet. (An empty list would become an RDD of Python's, for which every executor starts workers of another kind.)
+    out = spark.range(0).selectExpr(*[f"CAST(NULL AS {kind}) AS {name}" for name, kind in map(str.split, schema.split(", "))])
     frequency = items.mapInArrow(_word_rows, "word string").groupBy("word").agg(F.count("*").alias("n"))
     rounds = -(-about["n"] // ITEMS)
     for k in range(rounds):

@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from limnos.llm.graphs import checked, components, staged
 from limnos.llm.registry import query, table
 from limnos.llm.text import WORD_PATTERN, byte_views, mix64, run_hashes, word_hashes
-from limnos.session import cut_lineage
+from limnos.session import bound_batches, cut_lineage
 
 SHINGLE = 5
 PERCENT = 75
@@ -256,6 +256,7 @@ def _candidates(open_: DataFrame, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row (docs: doc_id, text)."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cells = sketch(docs)
     reps = profiles(docs, cells, percent)

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnos.llm.registry import query, table
+from limnos.session import bound_batches
 
 #: Labelled rows used for learning, at most; the ones with the smallest hash of their key.
 LABELLED_ROWS = 20_000
@@ -110,6 +111,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS
 
 def learn(sample: DataFrame) -> Model:
     """Weights, chance law and curve from a bounded sample (text, toxic, fold)."""
+    bound_batches(sample.sparkSession)
     counts = sample.filter(~F.col("fold")).select("text", "toxic").mapInArrow(_token_counts, "token string, n_toxic long, n_clean long")
     counts = counts.groupBy("token").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
     size = counts.agg(F.count("*").alias("n"), F.sum("n_toxic").alias("t"), F.sum("n_clean").alias("c")).first()
@@ -180,6 +182,7 @@ def _curve(found: np.ndarray, toxic: np.ndarray, bins: int = 32) -> tuple[list[f
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_segments (significant ones), evidence, score and predicted of every row."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,6 +204,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows, all columns, whose text scores below the threshold."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

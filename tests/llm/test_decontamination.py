@@ -1,6 +1,9 @@
 import random
 
+import pyarrow as pa
+
 from limnos.llm import decontamination as dec
+from limnos.session import ARROW_BYTES, bound_batches
 
 
 def item(rng, n):
@@ -86,3 +89,20 @@ def test_scripts_without_spaces(spark):
     docs = [(i, fill(60) + t + fill(60)) for i, t in items] + [(5, fill(200)), (6, "京東都"), (7, items[0][1][:30])]
     got = dec.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in (1, 2, 3, 4)}
+
+
+def test_no_rdd_of_python_and_bounded_batches(spark, tmp_path):
+    spark.range(3000).selectExpr("id AS doc_id", "concat(id, repeat(' word', 1000)) AS text").coalesce(1).write.parquet(f"{tmp_path}/documents")
+    spark.range(1).selectExpr("id AS item_id", "'some question of six words? and its answer' AS text").write.parquet(f"{tmp_path}/items")
+    spark.conf.unset(ARROW_BYTES)
+    try:
+        docs = spark.read.parquet(f"{tmp_path}/documents")
+        found = dec.leaks(docs, spark.read.parquet(f"{tmp_path}/items"))
+        assert "RDD" not in found._jdf.queryExecution().optimizedPlan().toString()
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches), "n long, size long").collect()
+        assert sum(r["n"] for r in sizes) == 3000 and max(r["size"] for r in sizes) < 5_000_000
+        spark.conf.set(ARROW_BYTES, "32m")
+        bound_batches(spark)
+        assert spark.conf.get(ARROW_BYTES) == "32m"
+    finally:
+        spark.conf.unset(ARROW_BYTES)
