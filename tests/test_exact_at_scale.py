@@ -125,3 +125,35 @@ def test_both_quantile_ways_give_the_same_rows(spark):
                 for n in (1_000_000, 0)
             ]
             assert found[0] == found[1] and len(found[0]) == 3 * (4 if keys else 1)
+
+
+@pytest.mark.parametrize("leaf,fan", [(4, 2), (16, 32)])
+def test_few_leaves_are_compared_and_none_is_missed(spark, monkeypatch, leaf, fan):
+    """Every leaf with one of the k nearest donors is among those compared; the walk down makes no rows of nodes."""
+    from limnos.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "FAN", fan)
+    rng = np.random.default_rng(17)
+    x = np.round(rng.normal(0, 50, (400, 3)), 1)
+    x[rng.random((400, 3)) < 0.15] = np.nan
+    x[:3] = np.nan
+    cols = ["a", "b", "c"]
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "sample_seq long, a double, b double, c double")
+    _, donors, pairs = neighbours.candidates(df, cols, 5, leaf=leaf)
+    where = {r["seq"]: (r["donor_pattern"], r["part"]) for r in donors.collect()}
+    near = {}
+    for r in pairs.collect():
+        near.setdefault((r["rid"], r["target"]), set()).add((r["donor_pattern"], r["part"]))
+    leaves = len(set(where.values()))
+    n = 0
+    for i in range(3, 400):
+        for t, c in enumerate(cols):
+            common = ~np.isnan(x[i]) & ~np.isnan(x)
+            able = np.flatnonzero(~np.isnan(x[:, t]) & common.any(axis=1))
+            if not np.isnan(x[i, t]) or i not in where or not len(able):
+                continue
+            d2 = (np.where(common, np.nan_to_num(x) - np.nan_to_num(x[i]), 0.0) ** 2).sum(axis=1)[able] * 3 / common[able].sum(axis=1)
+            assert {where[s] for s in able[np.argsort(d2, kind="stable")[:5]] if s in where} <= near[i, c]
+            n += len(near[i, c])
+    assert n / len(near) < leaves / 2
