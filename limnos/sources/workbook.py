@@ -7,6 +7,7 @@ tasks. From the cells on, everything is joins and grouping.
 from __future__ import annotations
 
 import datetime
+import functools
 import io
 import re
 import zipfile
@@ -18,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from limnos.session import cut_lineage
 from limnos.sources.headers import file_formats, head, to_canonical
 from limnos.sources.records import name_pattern
 
@@ -25,13 +27,19 @@ from limnos.sources.records import name_pattern
 SUFFIXES = (".xlsx", ".xlsm", ".xltx", ".xltm")
 _DATE_FORMATS = {*range(14, 23), *range(45, 48)}
 _EPOCH = datetime.datetime(1899, 12, 30)
+_LETTERS, _DIGITS = re.compile("[A-Z]+"), re.compile(r"\d+")
 
 CELLS = "file string, sheet string, sheet_pos int, row long, col int, text string"
 _BATCH = 20_000
 
 
+@functools.cache
+def _local(tag: str) -> str:
+    return tag.rsplit("}", 1)[-1]
+
+
 def _tag(node) -> str:
-    return node.tag.rsplit("}", 1)[-1]
+    return _local(node.tag)
 
 
 def _text(node) -> str:
@@ -51,9 +59,10 @@ def _date_styles(book: zipfile.ZipFile) -> set[int]:
     return {i for f in formats for i, x in enumerate(f) if int(x.get("numFmtId", 0)) in _DATE_FORMATS | custom}
 
 
-def _column(ref: str) -> int:
+@functools.lru_cache(16_384)
+def _column(letters: str) -> int:
     n = 0
-    for letter in re.match("[A-Z]+", ref).group():
+    for letter in letters:
         n = n * 26 + ord(letter) - 64
     return n - 1
 
@@ -69,6 +78,7 @@ def _book_cells(name: str, content: bytes) -> Iterator[tuple]:
     for pos, sheet in enumerate(sheets):
         target = links[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))]
         part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+        title = sheet.get("name")
         for _, node in ElementTree.iterparse(book.open(part)):
             if _tag(node) != "row":
                 continue
@@ -82,7 +92,7 @@ def _book_cells(name: str, content: bytes) -> Iterator[tuple]:
                 elif kind in (None, "n") and int(cell.get("s", 0)) in dates:
                     text = (_EPOCH + datetime.timedelta(days=float(text))).isoformat(sep=" ")
                 ref = cell.get("r")
-                yield name, sheet.get("name"), pos, int(re.search(r"\d+", ref).group()) - 1, _column(ref), text
+                yield name, title, pos, int(_DIGITS.search(ref).group()) - 1, _column(_LETTERS.match(ref).group()), text
             node.clear()
 
 
@@ -135,7 +145,8 @@ def best_sheets(lines: DataFrame) -> DataFrame:
 
 def canonical_cells(cells: DataFrame) -> DataFrame:
     """Canonical text table from the best sheet of every workbook's cells."""
-    lines = sheet_lines(cells)
+    # Written once: the choice of sheets, the formats, the filled columns and the rows all read it.
+    lines = cut_lineage(sheet_lines(cells))
     chosen = best_sheets(lines).select("file")
     return to_canonical(lines.join(chosen, "file", "left_semi").select("file", "row", "in_head", "text"))
 

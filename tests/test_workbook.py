@@ -38,3 +38,22 @@ def test_best_sheet_is_read(spark, tmp_path):
         z.writestr("xl/worksheets/s2.xml", data)
     rows = read_workbooks(spark, str(tmp_path)).orderBy("row").select("station_code", "sampled_at", "Ca_mgL").collect()
     assert [tuple(r) for r in rows] == [("P-1", "2024-03-18 00:00:00", "45.5"), ("P-2", None, "<0,05")]
+
+
+def test_books_are_opened_once(spark):
+    """Sheets are chosen, formats found and rows read from lines that were written, not from the archives again."""
+    from limnos.sources.workbook import book_cells, canonical_cells, workbooks
+
+    opened = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            opened.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame([(i, f"S{i}", float(i)) for i in range(30)], "sample_seq long, station_code string, Ca_mgL double")
+    books = workbooks(df, {"station_code": "Estación", "Ca_mgL": "Calcio (mg/L)"}, rows=10)
+    books = books.mapInArrow(counted, "path string, content binary")
+    got = canonical_cells(book_cells(books)).select("station_code", "Ca_mgL").collect()
+    assert sorted((r[0], float(r[1])) for r in got) == sorted((f"S{i}", float(i)) for i in range(30))
+    assert opened.value == 3
